@@ -56,3 +56,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 def spread(spark: SparkSession) -> int:
     """Number of partitions for a shuffle: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def open_store(uri: str):
+    """``(filesystem, path)`` for a URI of the shared store; executors write and read raw files through it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+
+
+def publish(store, temporary: str, final: str) -> None:
+    """Move a finished file to its place; a task that runs again after a loss replaces it by the same bytes."""
+    store.move(temporary, final)
