@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, token_files
+from . import bpe, simhash, token_files, warc
 from .common import table
 
 
@@ -24,10 +24,25 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_token_id_output": op5_token_id_output,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        with own as (select page_id, coalesce(html, '') as payload from pages),
+        told as (select page_id, octet_length(encode(payload)) as payload_bytes, sha1(payload) as payload_digest from own),
+        last as (select payload_digest, max(page_id) as last from told where payload_bytes >= 1000 group by payload_digest)
+        select page_id, payload_bytes, told.payload_digest,
+            case when last is null or last = page_id then 'response' else 'revisit' end as record_type,
+            case when last <> page_id then last end as refers_to
+        from told left join last on told.payload_digest = last.payload_digest and payload_bytes >= 1000
+    """,
+}
