@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_files, warc
+from . import bpe, sharding, simhash, token_files, warc
 from .common import table
 
 
@@ -28,11 +29,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.reshard(table(spark, sf_dir, "documents"), 40)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_token_id_output": op5_token_id_output,
     "op9_warc": op9_warc,
+    "op10_min_cost_resharding": op10_min_cost_resharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
