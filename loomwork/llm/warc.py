@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,8 +46,14 @@ def _header(**fields: object) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode("utf-8")
 
 
+def member(raw: bytes) -> bytes:
+    """The bytes as a gzip member of their own, without a time stamp: a record can be read alone, and a task's second run writes the same."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One record's bytes: header block, payload (a revisit has none), two line ends."""
+    """One record, gzipped: header block, payload (a revisit has none), two line ends."""
     content = payload if kind == "response" else b""
     head = _header(
         WARC_Type=kind,
@@ -59,12 +66,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
         Content_Type="text/html; charset=utf-8",
         Content_Length=len(content),
     )
-    return head + content + b"\r\n\r\n"
+    return member(head + content + b"\r\n\r\n")
 
 
 def parse(raw: bytes | memoryview) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-cased names) and content of one record."""
-    raw = bytes(raw)
+    """Header fields (lower-cased names) and content of one gzipped record."""
+    raw = zlib.decompress(raw, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -85,7 +92,7 @@ def write(found: DataFrame, folder: str) -> DataFrame:
         context = TaskContext.get()
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        archive, temporary = f"part-{context.partitionId():06d}.warc", f"{base}/.{context.partitionId():06d}-{context.taskAttemptId()}"
+        archive, temporary = f"part-{context.partitionId():06d}.warc.gz", f"{base}/.{context.partitionId():06d}-{context.taskAttemptId()}"
         out, place = None, 0
         for part in slices(batches):
             out = out or store.open_output_stream(temporary)
