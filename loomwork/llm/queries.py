@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, sharding, simhash, suffix_dedup, token_files, warc
+from . import ann, bpe, decontamination, html_text, quality, sharding, simhash, suffix_dedup, token_files, warc
 from .common import table
 
 
@@ -33,6 +33,16 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass, with their scores."""
+    found = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.where("not rejected").drop("rejected")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_approximate_neighbours": op3_approximate_neighbours,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_token_id_output": op5_token_id_output,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc": op9_warc,
     "op10_min_cost_resharding": op10_min_cost_resharding,
