@@ -103,6 +103,6 @@ def as_hex(fp: str) -> F.Column:
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents whose doc_id names their group; of repeated rows of one doc_id all stay."""
+    """The documents whose doc_id names their group, all columns. Rows without a doc_id stay; rows that repeat a doc_id stay or go together."""
     kept = near_duplicates(docs, words=words, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
