@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 
 def for_range(spark: SparkSession, start: int, end: int, body: Callable[[pd.Series], pd.DataFrame], schema: str, partitions: int | None = None) -> DataFrame:
     """``body`` over the ids of a half-open range, in batches. The first error fails the job and cancels the rest."""
@@ -75,7 +77,8 @@ def scan_global(df: DataFrame, order: str, value: str, name: str, exclusive: boo
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
     # the ranges must not be drawn anew between the two reads
-    ranged = ranged.checkpoint() if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else ranged.persist()
+    shared_root(spark)
+    ranged = ranged.checkpoint()
     before = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = before.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 
 class CycleError(ValueError):
     """Nodes of a cycle, or behind one, are left."""
@@ -29,6 +31,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
 
     Each round is written, so a plan stays as long as one round; rounds are as many as the graph is deep.
     """
+    shared_root(nodes.sparkSession)
     keep = lambda df: df.checkpoint()
     left, open_, done, level = nodes.select("node"), distinct_edges(edges.select("src", "dst")), None, 0
     while level < most:
@@ -46,6 +49,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
 
 def reachable(starts: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """Nodes that can be reached from ``starts`` (column node), themselves left out unless on a cycle."""
+    shared_root(starts.sparkSession)
     seen, front = starts.select("node").limit(0).checkpoint(), starts.select("node").distinct().checkpoint()
     for _ in range(most):
         front = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
@@ -65,6 +69,7 @@ def outcomes(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame
 
 def unlocks(levelled: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, unlock)``: how many ways lead down from a node, each end counted once per way; deepest levels first."""
+    shared_root(edges.sparkSession)
     pairs = distinct_edges(edges.select("src", "dst"))
     deepest = levelled.agg(F.max("level")).first()[0]
     score = None

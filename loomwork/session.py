@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -40,3 +41,16 @@ def info(spark: SparkSession) -> dict[str, str]:
     """What an inspector asks for: version, master, parallelism and the settings that shape plans."""
     names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
     return {"version": spark.version, "master": spark.sparkContext.master, "parallelism": str(spark.sparkContext.defaultParallelism), **{n: spark.conf.get(n) for n in names}}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``, set as checkpoint folder; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
