@@ -155,7 +155,7 @@ def frame_events(*sources: DataFrame) -> DataFrame:
     out = sources[0]
     for df in sources[1:]:
         out = out.unionByName(df)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy("sequence")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy("sequence")).cast("long"))
 
 
 def delta(before: DataFrame, after: DataFrame, key: str, components: list[str]) -> DataFrame:

@@ -151,7 +151,7 @@ def can_ever_fit(capacity: dict[str, int]) -> Column:
 
 def ready_order(nodes: DataFrame) -> DataFrame:
     """``nodes`` (unlock, mean_ns, node) with ``place``: what unlocks most first, then what takes longest, then the lower number."""
-    return nodes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("unlock"), F.desc("mean_ns"), "node")))
+    return nodes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("unlock"), F.desc("mean_ns"), "node")).cast("long"))
 
 
 def fusion_groups(nodes: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:

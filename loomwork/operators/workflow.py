@@ -41,7 +41,7 @@ def inbox(messages: DataFrame, keys: list[str], message: str, order: str, next_s
     """The first of each message, with its ``sequence`` in the workflow's history from ``next_sequence`` on."""
     first = F.row_number().over(Window.partitionBy(*keys, message).orderBy(order))
     fresh = messages.withColumn("_r", first).where("_r = 1").drop("_r")
-    return fresh.withColumn("sequence", next_sequence + F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    return fresh.withColumn("sequence", (next_sequence + F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
 
 
 def claims(tasks: DataFrame, queue: list[str], available: str, task: str, now: Column, epoch: int, count: int = 1) -> DataFrame:
@@ -81,7 +81,7 @@ def fold_states(history: DataFrame, keys: list[str], sequence: str, kind: str, t
         return out
 
     events = F.array_sort(F.collect_list(F.struct(sequence, kind)))
-    return history.groupBy(*keys).agg(events.alias("_e")).select(*keys, F.aggregate("_e", F.lit(initial), step).alias("state"), F.size("_e").alias("events"))
+    return history.groupBy(*keys).agg(events.alias("_e")).select(*keys, F.aggregate("_e", F.lit(initial), step).alias("state"), F.size("_e").cast("long").alias("events"))
 
 
 @dataclass(frozen=True)
