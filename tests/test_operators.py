@@ -78,7 +78,7 @@ def test_entities_delta_and_journal(spark):
     before = spark.createDataFrame([(1, 1, None), (2, 2, 2), (3, 3, 3)], "e long, a long, b long")
     after = spark.createDataFrame([(1, 1, 4), (2, 5, None), (4, 1, 1)], "e long, a long, b long")
     ops = ecs.delta(before, after, "e", ["a", "b"])
-    assert {tuple(r) for r in ops.collect()} == {(1, "b", "add"), (2, "a", "set"), (2, "b", "remove"), (3, None, "destroy"), (4, None, "create")}
+    assert {tuple(r) for r in ops.collect()} == {(1, "b", "add"), (2, "a", "set"), (2, "b", "remove"), (3, None, "destroy"), (4, None, "create"), (4, "a", "add"), (4, "b", "add")}
     base, target = ecs.content_hash(before, ["e", "a", "b"]), ecs.content_hash(after, ["e", "a", "b"])
     assert rows(ecs.apply_delta(before, ops, after, "e", ["a", "b"], base, target), "e") == [(1,), (2,), (4,)]
     with pytest.raises(ValueError):
