@@ -67,6 +67,8 @@ def transfers(rows: dict[int, int], shards: int, first_bytes: dict[int, float],
     n-th's size, ``first_bytes`` the mean of those before it. Which shards keep a row more is for the flow to choose. Old
     shards beyond ``shards`` are emptied, new ones beyond the old are filled.
     """
+    if not rows:
+        return []
     total, net, arcs = sum(rows.values()), Flow(), []
     share, more = divmod(total, shards)
     for i in sorted(rows):
