@@ -94,6 +94,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = materialize(named, "simhash-groups")  # with nothing but exchanges below it, the join can split the rows of a hot fingerprint
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
