@@ -1,7 +1,7 @@
 """Exact substring de-duplication by blockwise suffix sorting of those suffixes only that can have a twin.
 
 A window is a string of ``length`` bytes; a byte goes if a window over it also starts earlier. Windows are dealt to suffix
-buckets by their minimizer, the 16-gram of least hash in them, which equal windows share. A run of windows with one
+buckets by their minimizer, the 24-gram of least hash in them, which equal windows share. A run of windows with one
 minimizer travels as one string. Buckets with a single occurrence are left out at once; the others are sorted one block
 of buckets at a time. Long ties are resolved by ranks of a cover sample: suffixes are laid out so that their minimizers
 are congruent modulo 16, which makes the places congruent to 0 a difference cover for all pairs that are compared; the
@@ -19,13 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, spread
+from .common import materialize, spread
 
-GRAM, STEP = 16, 16
+GRAM, STEP = 24, 16
 #: Bytes of text whose minimizers are computed together, and bytes of suffix strings sorted together.
 CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
 #: Minimizers with more occurrences go by fingerprints of whole windows: their suffixes then spread over all tasks.
-HOT = 5000
+HOT = 50_000
+#: Suffixes that are sorted at once; larger blocks are sorted by ranges of the minimizer's place in the window.
+SORT_ROWS = 400_000
+#: Strings of a task that are remembered, by 128-bit hashes, to send equal ones once.
+SEEN = 1_000_000
 #: Places are below this power of two in the combined key of hash and place.
 PLACE = 28
 
@@ -36,11 +40,12 @@ def words64(raw: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(raw: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each place (or those in ``at``) on."""
+    """A 64-bit hash of the GRAM = 24 bytes from each place (or those in ``at``) on."""
     w = words64(raw)
     with np.errstate(over="ignore"):
-        a, b = (w[: len(w) - 8], w[8:]) if at is None else (w[at], w[at + 8])
+        a, b, c = (w[: len(w) - 16], w[8 : len(w) - 8], w[16:]) if at is None else (w[at], w[at + 8], w[at + 16])
         h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = (h ^ (h >> np.uint64(29))) + c.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -98,7 +103,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 for held in pieces(_utf8(part.column(1)), length):
                     found = [(i, at, *runs(np.frombuffer(piece, np.uint8), length)) for i, at, piece in held]
-                    h = np.concatenate([f[5] for f in found]).view(np.int64)
+                    h = (np.concatenate([f[5] for f in found]) >> np.uint64(16)).view(np.int64)  # 48 bits: a rare clash only costs work
                     doc = np.concatenate([np.full(len(f[2]), ids[f[0]]) for f in found])
                     packed = np.concatenate([pack(f[2] + f[1], f[4] - f[2], f[3]) for f in found])
                     order = np.argsort(h, kind="stable")
@@ -118,26 +123,37 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 def suffixes(joined: DataFrame, length: int) -> DataFrame:
     """``(key, doc, at, payload)`` of the runs in ``twins``: the string of a run; of hot ones 8 more hash bytes per window; null if known.
 
-    Of equal strings in one batch only the earliest travels; the others are known to go, whatever else there is.
+    Documents of a task come in order, so of equal strings in a task only the earliest travels; the others are known to
+    go, whatever else there is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        last = None
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 ids, raws, lists = part.column(0).to_pylist(), _utf8(part.column(1)), part.column(2).to_pylist()
-                seen: set[tuple[int, bytes]] = set()
                 out: tuple[list, list, list, list] = ([], [], [], [])
 
                 def put(key: int, doc: int, at: int, payload: bytes) -> None:
-                    known = (key, payload) in seen
-                    seen.add((key, payload))
+                    print_ = xxhash.xxh3_128_digest(payload, key & ((1 << 64) - 1))
+                    known = print_ in seen
+                    seen.add(print_)
+                    if known and out[3] and out[3][-1] is None and out[1][-1] == doc:
+                        start, windows = out[2][-1] >> 20, out[2][-1] & 1023
+                        if at >> 20 == start + windows and windows + (at & 1023) < 1024:  # known runs side by side are one
+                            out[2][-1] += at & 1023
+                            return
                     for column, value in zip(out, (((doc * 0x9E3779B1 + at) & ((1 << 63) - 1)) if known else key, doc, at, None if known else payload), strict=True):
                         column.append(value)
 
                 for i in sorted(range(len(ids)), key=ids.__getitem__):
                     raw, doc = raws[i], ids[i]
-                    places = sorted((x["at"], x["hot"]) for x in lists[i])
+                    if len(seen) > SEEN or last is not None and doc < last:
+                        seen.clear()
+                    last = doc
+                    places = [(x >> 1, x & 1) for x in sorted(lists[i])]
                     packed = np.array([p for p, _ in places], np.int64)
                     keys = gram_hashes(np.frombuffer(raw, np.uint8), (packed >> 20) + ((packed >> 10) & 1023)).view(np.int64).tolist()
                     for (at, hot), key in zip(places, keys, strict=True):
@@ -184,30 +200,33 @@ def twins_in_block(bucket: np.ndarray, anchor: np.ndarray, windows: np.ndarray,
     r32 = _ranks(r16, pad(r16, 1))
     r64 = _ranks(r32, pad(r32, 2))
 
-    row = np.repeat(np.arange(len(strings)), windows)
-    nth = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-    place = begin[row] + nth
-    head = (-place) % STEP
-    first = (place + head) // STEP
-    blocks = (length - head) // STEP  # whole sample blocks in the window
-    if not 4 <= int(blocks.min()) <= int(blocks.max()) <= 6:
-        raise ValueError("a window must hold four to six sample blocks")
-    extra = np.where(blocks == 4, 0, np.where(blocks == 5, r16[first + 4], r32[first + 4]))
-    tail_at = (first + blocks) * STEP
-    tail = length - head - blocks * STEP
     w = words64(text)
     mask = lambda n: np.where(n >= 8, ~np.uint64(0), ~(~np.uint64(0) >> (8 * np.minimum(n, 7)).astype(np.uint64)))  # noqa: E731  the first n bytes
     part = lambda at, n: (w[at].astype(np.uint64) & mask(n), np.where(n > 8, w[at + 8].astype(np.uint64) & mask(np.maximum(n - 8, 0)), 0))
-    (h1, h2), (t1, t2) = part(place, head), part(tail_at, tail)
-    group = bucket[row] * 1024 + (anchor[row] - nth)
-    keys = (t2, t1, extra, r64[first], h2, h1, group)
-    order = np.lexsort(keys)
-    same = np.ones(len(order) - 1, bool)
-    for key in keys:
-        k = key[order]
-        same &= k[1:] == k[:-1]
-    twin = np.zeros(len(order), bool)
-    twin[order[1:][same]] = True
+    all_rows = np.repeat(np.arange(len(strings), dtype=np.int32), windows)
+    all_nth = (np.arange(len(all_rows)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)).astype(np.int32)
+    twin = np.zeros(len(all_rows), bool)
+    step = max(1, length * SORT_ROWS // max(1, len(all_rows)))
+    inside = anchor[all_rows] - all_nth  # the minimizer's place in each window: equal windows agree in it
+    for low in range(0, length, step):
+        some = np.flatnonzero((inside >= low) & (inside < low + step)) if step < length else np.arange(len(all_rows))
+        if len(some) < 2:
+            continue
+        row, place = all_rows[some], begin[all_rows[some]] + all_nth[some]
+        head = (-place) % STEP
+        first = (place + head) // STEP
+        blocks = (length - head) // STEP  # whole sample blocks in the window
+        extra = np.where(blocks == 4, 0, np.where(blocks == 5, r16[first + 4], r32[first + 4]))
+        (h1, h2), (t1, t2) = part(place, head), part((first + blocks) * STEP, length - head - blocks * STEP)
+        keys = (t2, t1, extra, r64[first], h2, h1, bucket[row] * 1024 + inside[some])
+        order = np.lexsort(keys)
+        same = np.ones(len(order) - 1, bool)
+        for key in keys:
+            k = key[order]
+            same &= k[1:] == k[:-1]
+        twin[some[order[1:][same]]] = True
+        if step >= length:
+            break
     return twin
 
 
@@ -287,16 +306,20 @@ def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """``(doc_id, text, doc)`` with an order key ``doc`` that no two rows share, and whether it had to be made.
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a long column that orders documents and that no two rows share.
 
-    It is doc_id itself unless ids repeat or are null: then rows are numbered by id (null first) and text.
+    It is the id itself unless ids repeat or are null: then rows are numbered by id (null first) and text, in a new column.
     """
-    own = id_and_text(docs, id_col, text_col)
-    if not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).take(1):
-        return own.select("doc_id", "text", F.col("doc_id").alias("doc")), False
-    ranged = own.repartitionByRange(spread(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(ranged.withColumn("doc", F.monotonically_increasing_id()), "numbered"), True
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    if not ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 or i is null").limit(1).take(1):
+        return docs, id_col
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    order = (F.col(id_col).cast("long").asc_nulls_first(), F.xxhash64(F.col(text_col).cast("string")))
+    ranged = docs.repartitionByRange(spread(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def removed_spans(rows: DataFrame, length: int = 100) -> DataFrame:
@@ -304,11 +327,12 @@ def removed_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     if not 95 <= length <= 111:
         raise ValueError("window lengths of 95 to 111 bytes are laid out")
     parts = spread(rows.sparkSession)
-    texts = rows.select("doc", "text").repartition(parts, "doc")
+    # both joins by doc read one exchange of the texts: the filter makes their plans equal, and lists come as plain longs
+    texts = rows.where("doc is not null").select("doc", "text").repartition(parts, "doc")
     found = occurrences(rows.select("doc", "text"), length)
     total = F.sum("n").over(Window.partitionBy("h"))
     twins = found.withColumn("total", total).where("total > 1").selectExpr(f"total > {HOT} as hot", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
-    lists = twins.groupBy("doc").agg(F.collect_list(F.struct("at", "hot")).alias("runs"))
+    lists = twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 1) | cast(hot as int)")).alias("runs"))
     strings = suffixes(texts.join(lists.hint("shuffle_merge"), "doc").select("doc", "text", "runs"), length)
     gone = spans(strings, length).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.join(gone.hint("shuffle_merge"), "doc", "left")
@@ -319,10 +343,10 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
 
     Every byte under a string of ``length`` bytes that also starts earlier (smaller id, or earlier in the document) goes.
     Null texts are empty. Rows that repeat an id, and rows without one, are documents of their own, in the order of
-    ``keyed``. Empty table: no rows. Matches never cross documents; a removal may part a multi-byte character.
+    ``with_key``. Empty table: no rows. Matches never cross documents; a removal may part a multi-byte character.
     """
-    rows, made = keyed(docs, id_col, text_col)
-    result = removed_spans(rows, length)
+    rows, key = with_key(docs, id_col, text_col)
+    result = removed_spans(rows.select(F.col(key).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,13 +362,37 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
     done = result.mapInArrow(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
-    if made:
-        done = done.join(rows.select("doc", "doc_id"), "doc")
-    else:
+    if key == id_col:
         done = done.withColumn("doc_id", F.col("doc"))
+    else:
+        done = done.join(rows.select(F.col(key).alias("doc"), F.col(id_col).cast("long").alias("doc_id")), "doc")
     return done.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans")
 
 
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with all its columns: ``text`` less the removed bytes (a character that loses a byte goes whole), ``n_chars`` as it then is.
+
+    Rows that repeat a doc_id, or have none, are documents of their own, as in ``deduplicate``. Null texts stay null.
+    """
+    rows, key = with_key(docs, "doc_id", "text")
+    kept = removed_spans(rows.select(F.col(key).cast("long").alias("doc"), F.col("text").cast("string").alias("text")), length)
+    cut = kept.where("spans is not null").mapInArrow(_cut, "doc long, less string").selectExpr("doc as cut_doc", "less as cut_text")
+    done = rows.join(cut.hint("shuffle_merge"), rows[key] == cut.cut_doc, "left")
+    columns = {"text": F.coalesce("cut_text", "text"), "n_chars": F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text")) if "n_chars" in docs.columns else None}
+    return done.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else rows[c] for c in docs.columns))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            texts = []
+            for raw, spans_ in zip(_utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
+                edges = [0, *(x for c in merged([s["low"] for s in spans_], [s["high"] for s in spans_]) for x in c), len(raw)]
+                texts.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc", "less"])
+
+
 def brute_force(texts: list[bytes], length: int = 100) -> list[list[bool]]:
     """Per document, in order, which bytes go: the plain definition, for tests."""
     seen: set[bytes] = set()
