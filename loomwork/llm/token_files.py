@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize, open_store, publish, slices, spread, work_dir
 
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 2_000_000, 48
 #: Bytes of payload that a reader holds at once, unless one document is longer.
 READ_BYTES = 16 << 20
 
@@ -45,26 +45,45 @@ class ByteEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.beside = re.compile(r"\s\s")
+        self.known: dict[str, bytes] = {}  # by piece without the blank before it
         self.between = re.compile(r"(?<=\S) (?=\S)")
 
-    def _parts(self, text: str) -> list[str]:
-        parts = self.between.split(text) if self.beside.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(found.ids, f"<u{self.width}").tobytes() for at in range(0, len(pieces), 4096) for found in self.library.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+
+    @staticmethod
+    def _clean(piece: str) -> bool:
+        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parted = [self._parts(t) if t else [] for t in texts]
+        """A text's first piece has no blank before it and goes to the library as it is; all others have one.
+
+        Texts are parted at every blank first. Pieces with white space at an end are never remembered, so a text that has
+        one is found among those with unknown pieces and is parted again, at blanks between other characters only.
+        """
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, long = self.known, {}
-        new = list({p for parts in parted for p in parts if p not in known})
-        for at in range(0, len(new), 4096):
-            for piece, found in zip(some := new[at : at + 4096], self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(piece) <= LONGEST else long)[piece] = np.array(found.ids, f"<u{self.width}").tobytes()
-        if long:
-            return [b"".join([known[p] if p in known else long[p] for p in parts]) for parts in parted]
-        return [b"".join(map(known.__getitem__, parts)) for parts in parted]
+        get = self.known.get
+        parted = [(t or "").split(" ") for t in texts]
+        rest = [list(map(get, parts[1:])) for parts in parted]
+        new: dict[str, bytes] = {}
+        for i, found in enumerate(rest):
+            parts = parted[i]
+            missed = [p for p, x in zip(parts[1:], found, strict=True) if x is None] if None in found else []
+            if parts[0] and len(parts) > 1 and parts[0][-1].isspace() or not all(map(self._clean, missed)):
+                parts = parted[i] = self.between.split(texts[i])
+                found = rest[i] = list(map(get, parts[1:]))
+                missed = [p for p, x in zip(parts[1:], found, strict=True) if x is None]
+            new.update(dict.fromkeys(missed, b""))
+        firsts = self._pieces([parts[0] for parts in parted])
+        new = dict(zip(new, self._pieces([" " + p for p in new]), strict=True))
+        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST and self._clean(p))
+        out = []
+        for first, parts, found in zip(firsts, parted, rest, strict=True):
+            if None in found:
+                found = [x if x is not None else new[p] for p, x in zip(parts[1:], found, strict=True)]
+            out.append(first + b"".join(found))
+        return out
 
 
 _loaded: dict[str, ByteEncoder] = {}
