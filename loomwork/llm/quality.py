@@ -91,7 +91,8 @@ def trigrams(ids: np.ndarray) -> np.ndarray:
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled of good quality and not toxic, in all rows of ``labels``."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    # a merge join at every size: what is shuffled then grows with the input, and no side has to fit anywhere
+    return docs.join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def _part() -> F.Column:
@@ -296,7 +297,7 @@ def scores(docs: DataFrame, labels: DataFrame, by_joins: bool | None = None) ->
     text is empty, a null language is one of its own; labels with null fields are no trust. Repeated rows stay repeated.
     """
     own = _own(docs)
-    good = trusted(own, labels).where(_part() > 0)
+    good = materialize(trusted(own.where(_part() > 0), labels), "trusted")
     spoken = {r["lang"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).where(f"n >= {LEAST_DOCS}").select("lang").collect()}
     if not spoken and not good.take(1):
         return own.selectExpr("doc_id", "lang", "cast(null as long) as n_tokens", "cast(null as double) as perplexity", "cast(null as double) as bound", "false as rejected")
