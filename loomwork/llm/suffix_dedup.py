@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import materialize, spread
 
@@ -323,17 +324,18 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
 
 
 def removed_spans(rows: DataFrame, length: int = 100) -> DataFrame:
-    """``(doc, text, spans)`` per row of ``(doc, text)`` with distinct ``doc``: ``spans`` are the maximal byte runs to remove, null if none."""
+    """``(doc, text, spans)``, and ``rest`` if there, per row of ``(doc, text[, rest])`` with distinct ``doc``: ``spans`` are the byte runs to remove, null if none."""
     if not 95 <= length <= 111:
         raise ValueError("window lengths of 95 to 111 bytes are laid out")
     parts = spread(rows.sparkSession)
     # both joins by doc read one exchange of the texts: the filter makes their plans equal, and lists come as plain longs
-    texts = rows.where("doc is not null").select("doc", "text").repartition(parts, "doc")
+    carried = [c for c in rows.columns if c == "rest"]
+    texts = rows.where("doc is not null").select("doc", "text", *carried).repartition(parts, "doc")
     found = occurrences(rows.select("doc", "text"), length)
     total = F.sum("n").over(Window.partitionBy("h"))
     twins = found.withColumn("total", total).where("total > 1").selectExpr(f"total > {HOT} as hot", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
     lists = twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 1) | cast(hot as int)")).alias("runs"))
-    strings = suffixes(texts.join(lists.hint("shuffle_merge"), "doc").select("doc", "text", "runs"), length)
+    strings = suffixes(texts.join(lists.hint("shuffle_merge"), "doc").select("doc", "text", "runs", *carried), length)
     gone = spans(strings, length).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.join(gone.hint("shuffle_merge"), "doc", "left")
 
@@ -375,22 +377,28 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     Rows that repeat a doc_id, or have none, are documents of their own, as in ``deduplicate``. Null texts stay null.
     """
     rows, key = with_key(docs, "doc_id", "text")
-    kept = removed_spans(rows.select(F.col(key).cast("long").alias("doc"), F.col("text").cast("string").alias("text")), length)
-    cut = kept.where("spans is not null").mapInArrow(_cut, "doc long, less string").selectExpr("doc as cut_doc", "less as cut_text")
-    done = rows.join(cut.hint("shuffle_merge"), rows[key] == cut.cut_doc, "left")
-    columns = {"text": F.coalesce("cut_text", "text"), "n_chars": F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text")) if "n_chars" in docs.columns else None}
-    return done.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else rows[c] for c in docs.columns))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
-            texts = []
-            for raw, spans_ in zip(_utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
-                edges = [0, *(x for c in merged([s["low"] for s in spans_], [s["high"] for s in spans_]) for x in c), len(raw)]
-                texts.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc", "less"])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    # all other columns travel beside the text, so that nothing has to be joined again
+    kept = removed_spans(rows.select(F.col(key).cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest")), length)
+    kept = kept.select("text", "spans", "rest")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                texts = []
+                for text, raw, spans_ in zip(part.column(0).to_pylist(), _utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    if spans_:
+                        edges = [0, *(x for c in merged([s["low"] for s in spans_], [s["high"] for s in spans_]) for x in c), len(raw)]
+                        text = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    texts.append(text)
+                changed = pa.array([bool(x) for x in part.column(1).to_pylist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), changed, part.column(2)], ["text", "changed", "rest"])
+
+    schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), kept.schema["rest"]])
+    done = kept.mapInArrow(cut, schema)
+    columns = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
+    return done.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def brute_force(texts: list[bytes], length: int = 100) -> list[list[bool]]:
