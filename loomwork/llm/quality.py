@@ -1,11 +1,10 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney trigram model of trusted text, one per language.
 
-Tokens are the frequent words of a language's trusted text; every other word counts as its shape (lower case, capital,
-upper case, mixed, number, punctuation, with its last mark), and a word that repeats
-the one before as ``<again>``, the two before as ``<still>``, more as ``<run>``. The
-counts of all orders, their discounts and the interpolated probabilities come from DataFrame aggregations and joins
-sharded by language and n-gram. A document is rejected if its cross entropy is beyond a bound made of quantiles of its
-language's trusted text of like length.
+``scores`` uses the model of ``word_model``: every word of trusted text is a token. A document is rejected if its cross
+entropy is beyond a bound made of quantiles of its language's trusted text of like length.
+
+The model of word shapes (``Tokens`` to ``entropies``) is the plain form of the same formulas for short vocabularies; tests
+hold it against dictionaries. No query uses it.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import word_model
 from .common import materialize, slices
 
 #: A word is a token of its own if it makes at least this share of its language's trusted tokens: at most 2000 words.
@@ -290,7 +290,7 @@ def length_class() -> F.Column:
     return sum((F.col("n_tokens") >= edge).cast("int") for edge in LENGTHS)
 
 
-def scores(docs: DataFrame, labels: DataFrame, by_joins: bool | None = None) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, bound, rejected)`` per row of ``docs``.
 
     ``bound`` is the largest perplexity that passes; it comes from trusted documents that the model has not seen. Without trusted text nothing is rejected and perplexity is null. A null
@@ -302,11 +302,11 @@ def scores(docs: DataFrame, labels: DataFrame, by_joins: bool | None = None) ->
     if not spoken and not good.take(1):
         return own.selectExpr("doc_id", "lang", "cast(null as long) as n_tokens", "cast(null as double) as perplexity", "cast(null as double) as bound", "false as rejected")
     texts = good.where(F.col("lang").isin(*spoken)) if spoken else good.where("false")
+    texts = texts.withColumn("model_lang", F.col("lang"))
     if not spoken or own.where(~F.col("lang").isin(*spoken)).take(1):
-        texts = texts.unionByName(good.withColumn("lang", F.lit(POOLED)))
-    vocabulary = vocabularies(texts)
-    model = train(materialize(counts(texts, vocabulary), "trigrams"), {lang: len(SHAPES) + len(words) for lang, words in vocabulary.items()})
-    found = materialize(entropies(docs, model, vocabulary, by_joins).withColumn("class", length_class()), "entropies")
+        texts = texts.unionByName(good.withColumn("model_lang", F.lit(POOLED)))
+    used = F.when(F.col("lang").isin(*spoken), F.col("lang")).otherwise(POOLED) if spoken else F.lit(POOLED)
+    found = materialize(word_model.entropies(own.withColumn("model_lang", used), texts).withColumn("class", length_class()), "entropies")
     known = trusted(found, labels).where(_part() == 0)
     both = [F.percentile_approx("entropy", [MIDDLE, UPPER], 10_000).alias("q"), F.count("*").alias("n")]
     classes = known.groupBy("model_lang", "class").agg(*both).where(f"n >= {LEAST_CLASS}").selectExpr("model_lang", "class", "2 * q[1] - q[0] as edge")
