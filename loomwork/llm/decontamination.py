@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only: windows as long as an item, SimHash, Hamming blocks, exact check.
 
-A window of a document is as many words as the item has. A window of similarity 0.8 shares a shingle with its item, so only
-windows that one shared shingle places are looked at; SimHash fingerprints of window and item meet in one of their
-Hamming blocks if they differ in at most ``RADIUS`` bits, and the exact weighted similarity decides.
+A window of a document is as many words as the item has, and may begin at any word. A window of similarity 0.8 has shingles
+of its item, in any order, at 4/9 of its own and the item's places together; every window with so many is looked at. SimHash
+fingerprints of window and item meet in one of their Hamming blocks if they differ in at most ``RADIUS`` bits, and the exact
+weighted similarity decides.
 """
 
 from __future__ import annotations
@@ -49,6 +50,16 @@ def _counts(hashes: str) -> str:
 SHARED = "aggregate(own, 0L, (t, x) -> t + least(x.n, coalesce(get(filter(theirs, y -> y.s = x.s), 0).n, 0)))"
 
 
+def _starts(k: int) -> str:
+    """SQL: every start of a window with enough of the places ``ats``, ascending, whose shingles the item has too.
+
+    similarity = shared / (a + b - shared) >= 0.8 if 9 shared >= 4 (a + b), and the places in the window are no fewer than shared.
+    From each place on, the next ``need`` lie in windows that begin between the last one's farthest start and the first one.
+    """
+    spans = f"transform(filter(sequence(0, size(ats) - need), i -> ats[i + need - 1] - ats[i] < a), i -> sequence(greatest(0, ats[i + need - 1] - a + 1), least(ats[i], size - {k - 1} - a)))"
+    return f"case when size(ats) >= need then array_distinct(flatten({spans})) else array() end"
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the bound."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -68,11 +79,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for k in sizes:
         some = items.where(f"least(size(words), {WORDS}) = {k}").selectExpr("item_id", "size(words) as n_words", f"{_shingles(k)} as shingles")
         some = materialize(some.selectExpr("item_id", "n_words", "shingles", f"{_simhash('shingles')} as fp", f"{_counts('shingles')} as theirs"), "items")
-        places = _small(some.select("item_id", "n_words", F.posexplode("shingles").alias("nth", "shingle")))
+        places = _small(some.selectExpr("item_id", "n_words", "explode(array_distinct(shingles)) as shingle"))
         hits = own.selectExpr("doc_id", f"{WORD_LIST} as words").selectExpr("doc_id", "size(words) as size", f"posexplode({_shingles(k)}) as (at, shingle)")
-        # a window that would begin before or end after the text is moved inside; shorter texts are one window
-        starts = hits.join(places, "shingle").selectExpr("doc_id", "item_id", "greatest(0, least(at - nth, size - n_words)) as start").distinct()
-        starts = materialize(starts, "windows")
+        # shorter texts are one window
+        held = hits.join(places, "shingle").groupBy("doc_id", "item_id", "size", "n_words").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+        held = held.selectExpr("*", f"least(size, n_words) - {k - 1} as a").selectExpr("*", f"cast(ceil(4 * (a + n_words - {k - 1}) / 9) as int) as need")
+        starts = materialize(held.selectExpr("doc_id", "item_id", f"explode({_starts(k)}) as start").distinct(), "windows")
         touched = _small(starts.select("doc_id").distinct())
         texts = own.join(touched, own.doc_id.eqNullSafe(touched.doc_id), "left_semi").selectExpr("doc_id", f"{WORD_LIST} as words").selectExpr("doc_id", f"{_shingles(k)} as shingles")
         windows = texts.join(starts.withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d")).drop("d").join(_small(some.select("item_id", "n_words")), "item_id")
