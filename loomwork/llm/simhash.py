@@ -18,20 +18,28 @@ BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 
 
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, in the text's order, as ``simhash`` parts them; empty without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    pieces = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[-n:].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
+
+
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint of a whole text.
 
     A-Z are lower-cased, words are what ASCII white space parts, shingles are ``words`` words joined by a space (a shorter
     text is one shingle), repeats count. A bit is 1 if over half of the shingles' XXH64 have it. No words or null: 0.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
         return 0
-    joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    pieces = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[-n:].tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 15):
         some = hashes[at : at + (1 << 15)]
