@@ -107,6 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; all columns stay."""
-    held = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+    """The documents that hold no item; all columns stay. Rows of one doc_id go together, rows without one each by its own text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    held = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaking_key")).distinct()
+    return docs.join(held, key == held.leaking_key, "left_anti")

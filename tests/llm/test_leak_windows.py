@@ -20,3 +20,10 @@ def test_every_start_of_a_window(spark):
     want = plain_leaks(docs, items)
     assert got == want
     assert {(i, 40) for i in (0, 6, 12)} <= set(got)  # halves swapped
+
+
+def test_documents_without_id_go_by_their_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, "so " + item, 1), (None, "clean words of its own here", 2), (None, None, 3), (7, item, 4), (8, "clean", 5)], "doc_id long, text string, leak int")
+    kept = decontamination.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.leak for r in kept.collect()) == [2, 3, 5]
