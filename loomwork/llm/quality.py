@@ -303,16 +303,22 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return own.selectExpr("doc_id", "lang", "cast(null as long) as n_tokens", "cast(null as double) as perplexity", "cast(null as double) as bound", "false as rejected")
     texts = good.where(F.col("lang").isin(*spoken)) if spoken else good.where("false")
     texts = texts.withColumn("model_lang", F.col("lang"))
-    if not spoken or own.where(~F.col("lang").isin(*spoken)).take(1):
+    pooled = not spoken or bool(own.where(~F.col("lang").isin(*spoken)).take(1))
+    if pooled:
         texts = texts.unionByName(good.withColumn("model_lang", F.lit(POOLED)))
     used = F.when(F.col("lang").isin(*spoken), F.col("lang")).otherwise(POOLED) if spoken else F.lit(POOLED)
-    found = materialize(word_model.entropies(own.withColumn("model_lang", used), texts).withColumn("class", length_class()), "entropies")
+    rows = own.withColumn("model_lang", used)
+    if pooled and spoken:
+        # the pooled bounds come from held-out trusted text of all languages, so its other rows meet the pooled model too
+        rows = rows.unionByName(trusted(own.where(_part() == 0), labels).where(F.col("lang").isin(*spoken)).withColumn("model_lang", F.lit(POOLED)))
+    found = materialize(word_model.entropies(rows, texts).withColumn("class", length_class()), "entropies")
     known = trusted(found, labels).where(_part() == 0)
     both = [F.percentile_approx("entropy", [MIDDLE, UPPER], 10_000).alias("q"), F.count("*").alias("n")]
     classes = known.groupBy("model_lang", "class").agg(*both).where(f"n >= {LEAST_CLASS}").selectExpr("model_lang", "class", "2 * q[1] - q[0] as edge")
     whole = known.groupBy("model_lang").agg(*both).selectExpr("model_lang", "3 * q[1] - 2 * q[0] as wide")
     # a row per language and class
-    judged = found.join(F.broadcast(classes), ["model_lang", "class"], "left").join(F.broadcast(whole), "model_lang", "left").withColumn("at_most", F.coalesce("edge", "wide"))
+    asked = found.where((F.col("model_lang") != POOLED) | ~F.col("lang").isin(*spoken)) if pooled and spoken else found
+    judged = asked.join(F.broadcast(classes), ["model_lang", "class"], "left").join(F.broadcast(whole), "model_lang", "left").withColumn("at_most", F.coalesce("edge", "wide"))
     return judged.selectExpr("doc_id", "lang", "n_tokens", "exp(entropy) as perplexity", "exp(at_most) as bound", "coalesce(entropy > at_most, false) as rejected")
 
 

@@ -49,3 +49,14 @@ def test_rare_words_stay_words(spark):
     found = {r.doc_id: r for r in quality.scores(spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(2), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert max(found[i].perplexity for i in range(300)) < min(found[i].perplexity for i in range(1000, 1020))
     assert all(found[i].rejected for i in range(1000, 1020))
+
+
+def test_rare_languages_have_the_pooled_bound(spark):
+    random.seed(8)
+    text = lambda mark: " ".join(random.choices(["the", "of", "and", "to", "in"], k=100) if not mark else [f"{mark}{random.random()}" for _ in range(100)])
+    docs = [(i, "en", text("")) for i in range(200)] + [(1000, "xx", text("junk")), (1001, "xx", text(""))]
+    labels = [(i, 1, 0) for i in range(200)]
+    rows = quality.scores(spark.createDataFrame(docs, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    found = {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs) and found[1001].bound == found[1000].bound is not None
+    assert found[1000].rejected and not found[1001].rejected
