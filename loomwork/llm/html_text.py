@@ -32,6 +32,9 @@ BLOCK = frozenset(
 )
 #: Text-flow elements: inside an article they are never taken for a template, as sentences recur on their own.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th tr caption figcaption article main body html".split())
+#: Elements whose text is part of a sentence, and the elements of an article that hold sentences; within these the former are exempt as well.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
+SENTENCES = FLOW - frozenset("article main body html tr".split())
 #: An open element of a key ends when one of its set begins, unless a bound stands between.
 ENDS = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot", "thead"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot", "thead"}),
@@ -60,6 +63,7 @@ class Node:
     dropped: bool
     main: int
     start: tuple[int, int] = (0, 0)
+    sentence: bool = False
 
 
 def _marked(attributes: str) -> bool:
@@ -132,6 +136,7 @@ class Page:
             node.start = (len(self.blocks), len(self.buffer))
         else:
             node = Node(tag, self.events, self.running, dropped, main)
+        node.sentence = main > 0 and (tag in SENTENCES or tag in INLINE and up is not None and up.sentence)
         self.stack.append(node)
 
     def _close_to(self, at: int) -> None:
@@ -143,7 +148,7 @@ class Page:
             if not node.dropped:
                 self._event(">")
                 own = (self.running - node.hashed * self.power[self.events - node.event]) % PRIME
-                if not (node.main and node.tag in FLOW) and node.tag not in ("body", "html", "article", "main"):
+                if not (node.main and node.tag in FLOW) and not (node.sentence and node.tag in INLINE) and node.tag not in ("body", "html", "article", "main"):
                     self.hashes.append(own)
                     if own in self.template:
                         blocks, pieces = node.start
