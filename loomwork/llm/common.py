@@ -29,12 +29,36 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a finished write at once where this is set; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and a lost executor costs nothing."""
-    path = work_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = work_dir(spark, label)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once all that reads it is written itself."""
+    for df in written:
+        remove(df.sparkSession, df._written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

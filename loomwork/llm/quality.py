@@ -2,27 +2,16 @@
 
 ``scores`` uses the model of ``word_model``: every word of trusted text is a token. A document is rejected if its cross
 entropy is beyond a bound made of quantiles of its language's trusted text of like length.
-
-The model of word shapes (``Tokens`` to ``entropies``) is the plain form of the same formulas for short vocabularies; tests
-hold it against dictionaries. No query uses it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_model
-from .common import materialize, slices
+from .common import materialize
 
-#: A word is a token of its own if it makes at least this share of its language's trusted tokens: at most 2000 words.
-LEAST_SHARE = 1 / 2000
 #: A language has a model of its own if so many trusted documents speak it; the others share one of all trusted text.
 LEAST_DOCS = 20
 #: The bound is the upper quantile plus (upper - median): a tail as long again. Lengths in tokens that part the classes.
@@ -31,63 +20,9 @@ UPPER, MIDDLE, LENGTHS = 0.99, 0.5, (16, 64)
 HALVES = 2
 #: A class with fewer trusted documents takes its language's quantiles, with twice the tail.
 LEAST_CLASS = 20
-#: Model rows (n-grams and contexts) that scoring tasks hold as arrays of 12 bytes a row; a larger model is joined.
-HELD_ROWS = 4_000_000
-SHAPES = ["<s>", "</s>", "<again>", "<still>", "<run>", *(f"<{kind}{mark}>" for kind in ("low", "cap", "upper", "mixed", "num", "punct") for mark in ("", ".", ",", "!", "?", ":", ";", "-", ")", '"', "'", "%", "*", "#", "$", "&", "|", "/", "other"))]
-SHAPE_ID = {s: i for i, s in enumerate(SHAPES)}
 POOLED = "*"
 
 
-def shape(word: str) -> int:
-    """Token of a word outside the vocabulary."""
-    core = word.strip(".,;:!?()\"'%*#$&|/-")
-    mark = "" if not word or word[-1].isalnum() else word[-1] if f"<low{word[-1]}>" in SHAPE_ID else "other"
-    if not core:
-        kind = "punct"
-    elif any(c.isdigit() for c in core):
-        kind = "num"
-    elif not core.isalpha():
-        kind = "mixed"
-    elif len(core) > 1 and core.isupper():
-        kind = "upper"
-    else:
-        kind = "cap" if core[0].isupper() else "low"
-    return SHAPE_ID[f"<{kind}{mark}>"]
-
-
-class Tokens:
-    """Token ids of texts in one language; words met before are remembered, up to a bound."""
-
-    def __init__(self, vocabulary: list[str]) -> None:
-        self.own = {w: len(SHAPES) + i for i, w in enumerate(vocabulary)}
-        self.known = dict(self.own)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Two starts, the tokens, an end."""
-        words = (text or "").split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > 300_000:
-                self.known = dict(self.own)
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.known[words[i]] = shape(words[i])
-        out = np.zeros(len(found) + 3, np.int64)
-        out[2:-1], out[-1] = found, 1
-        if len(words) > 1:
-            again = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
-            if again.any():
-                still = again & np.concatenate([[False], again[:-1]])
-                run = still & np.concatenate([[False], still[:-1]])
-                out[3:-1][again] = 2 + (still.astype(np.int64) + run)[again]
-        return out
-
-
-def trigrams(ids: np.ndarray) -> np.ndarray:
-    """One number per token with the two before it; ``<run>`` has the context of a document's start, as a run in trusted text would else make all its likes likely."""
-    return np.where(ids[2:] == 4, 4, (ids[:-2] << 32) | (ids[1:-1] << 16) | ids[2:])
-
-
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled of good quality and not toxic, in all rows of ``labels``."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -104,188 +39,6 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def vocabularies(texts: DataFrame) -> dict[str, list[str]]:
-    """Frequent words by language, of all trusted text. The share bounds a language's list to 2000 words, LEAST_DOCS the languages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, Counter] = {}
-            for part in slices([batch], 1024):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    counts.setdefault(lang, Counter()).update((text or "").split())
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "word", "n"])
-
-    counted = materialize(texts.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counted.join(F.broadcast(total), "lang").where(f"n >= {LEAST_SHARE} * total").select("lang", "word").collect()
-    found: dict[str, list[str]] = {r["lang"]: [] for r in total.collect()}
-    for r in frequent:
-        found[r["lang"]].append(r["word"])
-    return {lang: sorted(words) for lang, words in found.items()}
-
-
-def counts(texts: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """``(lang, gram, n)`` of all trigrams in trusted text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {lang: Tokens(words) for lang, words in vocabulary.items()}
-        for batch in batches:
-            grams: dict[str, list[np.ndarray]] = {}
-            for part in slices([batch], 1024):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    grams.setdefault(lang, []).append(trigrams(tokens[lang].ids(text)))
-            for lang, parts in grams.items():
-                gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
-
-    return texts.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(grams: DataFrame) -> DataFrame:
-    """``(lang, d1, d2, d3)`` from the counts of counts: the three discounts of modified Kneser-Ney, kept within 0.05 and the count."""
-    c = grams.groupBy("lang").agg(*(F.greatest(F.count_if(F.col("n") == k), F.lit(1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
-    y = "n1 / (n1 + 2 * n2)"
-    return c.selectExpr("lang", *(f"least(greatest({k} - {k + 1} * {y} * n{k + 1} / n{k}, 0.05D), {0.95 * k}D) as d{k}" for k in (1, 2, 3)))
-
-
-def _contexts(grams: DataFrame, by: list[str], discounts: DataFrame) -> DataFrame:
-    """``(*by, total, gamma)``: a context's count and the share that its discounts leave to the lower order."""
-    c = grams.groupBy("lang", *by).agg(F.sum("n").cast("double").alias("total"), *(F.count_if(F.col("n") == k).alias(f"k{k}") for k in (1, 2)), F.count_if(F.col("n") >= 3).alias("k3"))
-    return c.join(F.broadcast(discounts), "lang").selectExpr("lang", *by, "total", "(d1 * k1 + d2 * k2 + d3 * k3) / total as gamma")
-
-
-DISCOUNTED = "(n - case when n = 1 then d1 when n = 2 then d2 else d3 end)"
-
-
-def train(grams: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """``(lang, kind, gram, value)``: log probabilities of seen trigrams (3), bigrams (2), unigrams (1) and any token (0), and log gammas of contexts of two (30) and one (20).
-
-    Lower orders count in how many contexts an n-gram was seen. ``sizes`` has each language's number of possible tokens.
-    """
-    spark = grams.sparkSession
-    c3 = grams.selectExpr("lang", "gram", "gram >> 16 as ab", "gram & 4294967295L as bc", "n")
-    c2 = materialize(c3.groupBy("lang", "bc").agg(F.count("*").alias("n")).selectExpr("lang", "bc", "bc >> 16 as b", "bc & 65535L as c", "n"), "bigrams")
-    c1 = materialize(c2.groupBy("lang", "c").agg(F.count("*").alias("n")), "unigrams")
-    # a row per language in each of these; languages are bounded by LEAST_DOCS trusted documents each and held by the driver already
-    d3, d2, d1 = (_discounts(c) for c in (c3, c2, c1))
-    uniform = F.broadcast(spark.createDataFrame([(k, 1.0 / v) for k, v in sizes.items()], "lang string, uniform double"))
-    s1 = F.broadcast(_contexts(c1, [], d1))
-    p1 = c1.join(F.broadcast(d1), "lang").join(s1, "lang").join(uniform, "lang").selectExpr("lang", "c", f"{DISCOUNTED} / total + gamma * uniform as p")
-    p0 = s1.join(uniform, "lang").selectExpr("lang", "0 as kind", "0L as gram", "ln(gamma * uniform) as value")
-    s2, s3 = (materialize(x, "contexts") for x in (_contexts(c2, ["b"], d2), _contexts(c3, ["ab"], d3)))
-    p2 = c2.join(F.broadcast(d2), "lang").join(s2, ["lang", "b"]).join(p1, ["lang", "c"]).selectExpr("lang", "bc", f"{DISCOUNTED} / total + gamma * p as p")
-    p2 = materialize(p2, "p2")
-    p3 = c3.join(F.broadcast(d3), "lang").join(s3, ["lang", "ab"]).join(p2, ["lang", "bc"]).selectExpr("lang", "gram", f"{DISCOUNTED} / total + gamma * p as p")
-    rows = [(p3, 3, "gram", "ln(p)"), (p2, 2, "bc", "ln(p)"), (p1, 1, "c", "ln(p)"), (s3, 30, "ab", "ln(gamma)"), (s2, 20, "b", "ln(gamma)")]
-    model = p0
-    for df, kind, gram, value in rows:
-        model = model.unionByName(df.selectExpr("lang", f"{kind} as kind", f"{gram} as gram", f"{value} as value"))
-    return materialize(model, "model")
-
-
-@dataclass
-class Held:
-    """A language's model as sorted arrays."""
-
-    grams: dict[int, np.ndarray] = field(default_factory=dict)
-    values: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def _find(self, kind: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.grams.get(kind)
-        if own is None or not len(own):
-            return np.zeros(len(gram), bool), np.zeros(len(gram))
-        at = np.minimum(np.searchsorted(own, gram), len(own) - 1)
-        return own[at] == gram, self.values[kind][at]
-
-    def log(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log of each trigram's last token's probability: that of a seen trigram, or its context's gamma and the next order's."""
-        seen, out = self._find(3, gram)
-        left = np.flatnonzero(~seen)
-        out[left] = 0.0
-        for context, kind, bits in ((30, 2, 32), (20, 1, 16)):
-            if not len(left):
-                return out
-            part = gram[left]
-            known, gamma = self._find(context, (part & ((1 << (bits + 16)) - 1)) >> 16)
-            out[left] += np.where(known, gamma, 0.0)
-            some, value = self._find(kind, part & ((1 << bits) - 1))
-            out[left[some]] += value[some]
-            left = left[~some]
-        out[left] += self.values[0][0]
-        return out
-
-
-def held(model: DataFrame) -> dict[str, Held]:
-    """The model as arrays, language by language; only for models within HELD_ROWS."""
-    found: dict[str, Held] = {}
-    rows = model.toArrow()
-    lang = rows.column("lang").combine_chunks().dictionary_encode()
-    names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-    kind, gram, value = (rows.column(c).to_numpy() for c in ("kind", "gram", "value"))
-    for i, name in enumerate(names):
-        own = found[name] = Held()
-        for k in (0, 1, 2, 3, 20, 30):
-            pick = np.flatnonzero((code == i) & (kind == k))
-            order = pick[np.argsort(gram[pick])]
-            own.grams[k], own.values[k] = gram[order].copy(), value[order].copy()
-    return found
-
-
-def entropies(docs: DataFrame, model: DataFrame, vocabulary: dict[str, list[str]], by_joins: bool | None = None) -> DataFrame:
-    """``(doc_id, lang, model_lang, n_tokens, entropy)`` per row: the mean of -ln p over a document's tokens and its end.
-
-    A model within HELD_ROWS goes to the tasks as arrays; a larger one, or ``by_joins``, is joined shard by shard with
-    the documents' distinct trigrams.
-    """
-    by_joins = model.count() > HELD_ROWS if by_joins is None else by_joins
-    spark = docs.sparkSession
-    if by_joins:
-        return _by_joins(docs, model, vocabulary)
-    shared = spark.sparkContext.broadcast(held(model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, tokens = shared.value, {lang: Tokens(words) for lang, words in vocabulary.items()}
-        for part in slices(batches):
-            langs = part.column(1).to_pylist()
-            used = [lang if lang in tokens else POOLED for lang in langs]
-            grams = [trigrams(tokens[u].ids(t)) for u, t in zip(used, part.column(2).to_pylist(), strict=True)]
-            size = np.fromiter(map(len, grams), np.int64, len(grams))
-            total = np.zeros(len(grams))
-            for lang in set(used):
-                rows = [i for i, u in enumerate(used) if u == lang]
-                log = models[lang].log(np.concatenate([grams[i] for i in rows]))
-                total[rows] = np.add.reduceat(log, np.concatenate([[0], np.cumsum(size[rows])[:-1]]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(used, pa.string()), pa.array(size - 1), pa.array(-total / size)], ["doc_id", "lang", "model_lang", "n_tokens", "entropy"])
-
-    return _own(docs).mapInArrow(run, "doc_id long, lang string, model_lang string, n_tokens long, entropy double")
-
-
-def _by_joins(docs: DataFrame, model: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {lang: Tokens(words) for lang, words in vocabulary.items()}
-        for part in slices(batches):
-            langs = part.column(1).to_pylist()
-            used = [lang if lang in tokens else POOLED for lang in langs]
-            found = [np.unique(trigrams(tokens[u].ids(t)), return_counts=True) for u, t in zip(used, part.column(2).to_pylist(), strict=True)]
-            for i in range(part.num_rows):
-                gram, n = found[i]
-                yield pa.RecordBatch.from_pydict({"row": pa.array([part.column(3)[i].as_py()] * len(gram), pa.int64()), "doc_id": pa.array([part.column(0)[i].as_py()] * len(gram), pa.int64()), "lang": [langs[i]] * len(gram), "model_lang": [used[i]] * len(gram), "gram": gram, "n": n})
-
-    rows = _own(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, lang string, model_lang string, gram long, n long")
-    rows = materialize(rows, "document-grams")
-    wanted = rows.select(F.col("model_lang").alias("lang"), "gram").distinct().selectExpr("lang", "gram", "gram >> 16 as ab", "gram & 4294967295L as bc", "(gram >> 16) & 65535L as b", "gram & 65535L as c")
-    of = lambda kind, gram, value: model.where(f"kind = {kind}").select("lang", F.col("gram").alias(gram), F.col("value").alias(value))
-    for kind, gram, value in ((3, "gram", "p3"), (2, "bc", "p2"), (1, "c", "p1"), (30, "ab", "g3"), (20, "b", "g2")):
-        wanted = wanted.join(of(kind, gram, value), ["lang", gram], "left")
-    floor = F.broadcast(model.where("kind = 0").select("lang", F.col("value").alias("p0")))
-    log = "coalesce(p3, coalesce(g3, 0D) + coalesce(p2, coalesce(g2, 0D) + coalesce(p1, p0))) as log"
-    scored = wanted.join(floor, "lang").selectExpr("lang as model_lang", "gram", log)
-    joined = rows.join(scored, ["model_lang", "gram"])
-    return joined.groupBy("row", "doc_id", "lang", "model_lang").agg((F.sum("n") - 1).alias("n_tokens"), (-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("entropy")).drop("row")
-
-
 def length_class() -> F.Column:
     return sum((F.col("n_tokens") >= edge).cast("int") for edge in LENGTHS)
 
@@ -323,6 +76,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass; all columns stay, and every row of a doc_id is judged by the id's best row."""
-    passed = scores(docs, labels).where("not rejected").select("doc_id").distinct()
-    return docs.join(passed, docs.doc_id.eqNullSafe(passed.doc_id), "left_semi")
+    """The documents that pass; all columns stay. Rows of one doc_id go or stay by its best row, rows without one each by its own text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    passed = scores(docs.select(key.alias("doc_id"), "lang", "text"), labels).where("not rejected").select(F.col("doc_id").alias("passing_key")).distinct()
+    return docs.join(passed, key == passed.passing_key, "left_semi")

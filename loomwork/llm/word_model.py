@@ -1,185 +1,330 @@
-"""The modified Kneser-Ney trigram model over all words of trusted text, trained and looked up in shards.
+"""The modified Kneser-Ney trigram model over all words of trusted text, as counts that documents are joined with in shards.
 
-A word is its 64-bit hash, an n-gram a 64-bit mix of its words'; no vocabulary is gathered anywhere. A trigram, its two
-bigrams' counts and its contexts all belong to the shard of its middle word, so one exchange of packed trigrams brings a
-shard's trusted text and the documents' trigrams together. Last words of bigrams that trusted text lacks go on to the shard
-that holds their unigrams. Words that trusted text lacks share what the unigrams' discounts leave: they are one unknown token.
+A word is its 64-bit hash, an n-gram a 64-bit mix of its words'; no vocabulary is gathered anywhere. Training leaves three
+tables of counts, dealt to shards by the hash of their key:
+
+* trigrams: how often each occurs
+* bigrams: by how many words each is preceded; as a context how often, and how many words follow it once, twice, more often
+* words: the same, counted over bigrams
+
+Documents ask for the counts of their distinct words, bigrams and trigrams, so a frequent key is one row of a pack of
+documents, not one per occurrence. A shard answers with the counts, and the pack turns them into probabilities with its
+model's discounts. Words that trusted text lacks share what the words' discounts leave: they are one unknown token.
+
+What travels is compressed: a shard's keys keep 40 bits beside the shard's number and go sorted, as differences. A shard's
+size is bounded, as their number grows with the trusted text, so a foreign key is taken for a seen one about once in a million.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, spread
+from .common import discard, materialize, open_store, remove, slices, spread, work_dir
 
 START, END = 0, 1
-#: Rows of documents whose trigrams are packed at once, unless they have so many tokens.
-PACK_ROWS, PACK_TOKENS = 8192, 3_000_000
-#: A shard's packed trigrams; rows without data name a pack's documents.
-PACKS = "batch long, shard int, lang string, words array<long>, data binary, docs array<long>, langs array<string>, sizes array<long>"
+#: Bytes of text that are packed together; documents are looked up in so many blocks, one after the other, so that only a block's requests lie on disk.
+PACK_BYTES, BLOCKS = 12 << 20, 4
+#: Trusted text of one shard, at most about.
+SHARD_BYTES = 64 << 20
+KEY_BITS = 40
+WORDS, BIGRAMS, TRIGRAMS = 1, 2, 3
+#: Counts of a key: of itself, then as a context its total and how many words follow once, twice, more often.
+COLUMNS = {WORDS: 5, BIGRAMS: 5, TRIGRAMS: 1}
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on as byte planes, compressed; a column's planes of zeros at the top are left out."""
+    head, parts = [len(columns)], []
+    for x in columns:
+        width = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+        head += [len(x), width]
+        parts.append(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes())
+    raw = np.array(head, "<u8").tobytes() + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(packed: bytes) -> list[np.ndarray]:
+    """The columns as unsigned 64-bit numbers."""
+    raw = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, "<u8", 2 * n, 8).reshape(-1, 2).tolist()
+    found, at = [], 8 + 16 * n
+    for size, width in head:
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        found.append(x.view("<u8").ravel())
+        at += size * width
+    return found
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
 
-def word_key(word: str) -> int:
-    """A word's signed 64-bit hash."""
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two."""
+    with np.errstate(over="ignore"):
+        z = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ np.uint64(0xD1B54A32D192ED03))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
 
 
-class Words:
-    """Hashes of texts' words; words met before are remembered, up to a bound."""
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(KEY_BITS)) % np.uint64(shards)
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Two starts, the words, an end."""
-        words = (text or "").split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > 300_000:
-                self.known = {}
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.known[words[i]] = word_key(words[i])
-        out = np.full(len(found) + 3, START, np.int64)
-        out[2:-1], out[-1] = found, END
-        return out
+def dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of keys by shard and the bits kept there, those bits in that order, and where each shard begins."""
+    bits = keys & np.uint64((1 << KEY_BITS) - 1)
+    own = (shard_of(keys, shards) << np.uint64(KEY_BITS)) | bits
+    order = np.argsort(own)
+    edges = np.searchsorted(own[order], np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+    return order, bits[order], edges
 
 
-def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """One 64-bit key of two."""
-    z = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (y.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))).view(np.int64)
-
-
-def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Distinct words, and the trigrams as places among them, sorted so that they compress."""
-    words, at = np.unique(np.concatenate([a, b, c]), return_inverse=True)
-    n = len(a)
-    a, b, c = at[:n], at[n : 2 * n], at[2 * n :]
-    order = np.lexsort((doc, c, b))
-    parts = np.concatenate([a[order], b[order], c[order], doc[order]])
-    # low halves apart from high ones, which are mostly 0
-    raw = parts.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
-    return words, n.to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(words: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little")
-    raw = np.frombuffer(pa.decompress(data[12:], decompressed_size=size, codec="zstd", asbytes=True), "<u2").reshape(2, -1)
-    at = raw[0].astype(np.int64) | (raw[1].astype(np.int64) << 16)
-    return words[at[:n]], words[at[n : 2 * n]], words[at[2 * n : 3 * n]], at[3 * n :]
-
-
-def packs(texts: DataFrame, shards: int) -> DataFrame:
-    """``(doc_id, lang, text, model_lang)`` -> packed trigrams by shard and model, and a row per pack and model for its documents."""
-
-    def rows(first: int, langs: list[str], own: list[tuple], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for at, lang in enumerate(sorted(set(langs))):
-            pick = [i for i, x in enumerate(langs) if x == lang]
-            batch = (TaskContext.get().partitionId() << 40) + first + at  # the same if a task runs again
-            a, b, c = (np.concatenate([ids[i][k : len(ids[i]) - 2 + k] for i in pick]) for k in range(3))
-            size = np.array([len(ids[i]) - 2 for i in pick])
-            doc = np.repeat(np.arange(len(pick)), size)
-            shard = ((b.view(np.uint64) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def parted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words' hashes with START and END first, each text's words between two starts and an end as places among them, and numbers of words.
+
+    White space parts words. Null texts have none.
+    """
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    row = pc.list_parent_indices(lists).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    raw, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    if b"" in raw:
+        real = at != raw.index(b"")
+        row, at = row[real], at[real]
+    # frequent words get low numbers, whose upper bytes are zeros
+    order = np.argsort(-np.bincount(at, minlength=len(raw)), kind="stable")
+    place = np.empty(len(raw), np.int64)
+    place[order] = np.arange(2, len(raw) + 2)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+    size = np.bincount(row, minlength=len(texts)).astype(np.int64)
+    ends = np.cumsum(size + 3)
+    stream = np.full(int(ends[-1]) if len(ends) else 0, START, np.int64)
+    stream[ends - 1] = END
+    stream[np.arange(len(at)) + 3 * row + 2] = place[at]
+    return np.concatenate([np.array([START, END], np.uint64), hashes[order]]), stream, size
+
+
+class Grams:
+    """The distinct bigrams and trigrams of a pack and where each trigram stands."""
+
+    def __init__(self, words: np.ndarray, stream: np.ndarray, size: np.ndarray) -> None:
+        n = len(words)
+        inner = np.ones(len(stream), bool)
+        inner[np.cumsum(size + 3) - 1] = False
+        pair = np.flatnonzero(inner)  # a bigram begins everywhere but at a text's last place
+        self.two, at = np.unique(stream[pair] * n + stream[pair + 1], return_inverse=True)
+        inner = np.ones(len(pair), bool)
+        inner[np.cumsum(size + 2) - 1] = False
+        first = np.flatnonzero(inner)  # a trigram's first bigram; its second is the next one
+        code, some, self.at, self.n = np.unique(at[first] * n + stream[pair[first] + 2], return_index=True, return_inverse=True, return_counts=True)
+        self.ab, self.bc, self.c = at[first][some], at[first + 1][some], code % n
+        self.begins = np.concatenate([[0], np.cumsum(size + 1)[:-1]])  # of each text's trigrams
+        self.b = self.two // n
+        self.keys = {WORDS: words, BIGRAMS: mix(words[self.b], words[self.two % n])}
+        self.keys[TRIGRAMS] = mix(self.keys[BIGRAMS][self.ab], words[self.c])
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [k for k, _ in schema])
+
+
+def _packs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, str, list[pa.RecordBatch]]]:
+    """``(number, model_lang, rows)``: rows of one model with about ``most`` bytes of text; numbers are unique among a job's committed tasks."""
+    held: dict[str, list] = {}
+    size: dict[str, int] = {}
+    number = TaskContext.get().partitionId() << 32
+
+    def done(lang: str) -> tuple[int, str, list[pa.RecordBatch]]:
+        nonlocal number
+        number += 1
+        size.pop(lang)
+        return number, lang, held.pop(lang)
+
+    for part in slices(batches):
+        models = part.column("model_lang")
+        for lang in pc.unique(models).to_pylist():
+            own = part.filter(pc.equal(models, lang))
+            held.setdefault(lang, []).append(own)
+            size[lang] = size.get(lang, 0) + own.column("text").nbytes
+            if size[lang] >= most:
+                yield done(lang)
+        if sum(size.values()) >= 4 * most:
+            yield done(max(size, key=size.get))
+    for lang in list(held):
+        yield done(lang)
+
+
+def _column(rows: list[pa.RecordBatch], name: str) -> pa.Array:
+    return pa.concat_arrays([r.column(name) for r in rows])
+
+
+#: Trusted trigrams of a pack in a shard: words, then places among them and counts. Also counts of a shard's keys, and of requests and answers.
+PART = "shard int, lang string, kind int, pack long, data binary"
+PART_TYPES = [("shard", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())]
+
+
+def _of_shards(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of each shard or pack together; they come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        own = batch.column(by).to_numpy()
+        edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+        for a, b in zip(edges, edges[1:]):
+            if held and own[a] != last:
+                yield last, held
+                held = []
+            last = int(own[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, held
+
+
+def _trusted_grams(texts: DataFrame, shards: int) -> DataFrame:
+    """A pack's distinct trigrams with counts, by the shard of the last two words: whatever precedes a bigram meets there."""
+    most = PACK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, lang, rows in _packs(batches, most):
+            words, stream, size = parted(_column(rows, "text"))
+            grams = Grams(words, stream, size)
+            shard = shard_of(grams.keys[BIGRAMS], shards)[grams.bc].astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(batch, batch % shards, lang, None, None, [own[i][0] for i in pick], [own[i][1] for i in pick], size.tolist())]
+            edges, n, out = np.searchsorted(shard[order], np.arange(shards + 1)), len(words), []
             for s in range(shards):
-                at = order[edges[s] : edges[s + 1]]
-                if len(at):
-                    words, data = _pack(a[at], b[at], c[at], doc[at])
-                    out.append((batch, s, lang, words, data, None, None, None))
-            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["batch", "shard", "lang", "words", "data", "docs", "langs", "sizes"])
+                some = order[edges[s] : edges[s + 1]]
+                if len(some):
+                    abc = np.stack([grams.two[grams.ab[some]] // n, grams.b[grams.bc[some]], grams.c[some]])
+                    own, at = np.unique(words[abc.ravel()], return_inverse=True)
+                    a, b, c = at.reshape(3, -1)
+                    by = np.lexsort((a, c, b))
+                    out.append((s, lang, 0, number, squeeze(_sorted(own), a[by], b[by], c[by], grams.n[some][by])))
+            yield _batch(out, PART_TYPES)
+
+    return texts.mapInArrow(run, PART)
+
+
+def _together(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    columns = [np.concatenate(c) for c in zip(*counts, strict=True)]
+    return found, [np.bincount(at, c, len(found)).astype(np.int64) for c in columns]
+
+
+def _followed(context: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Counts per row for a context: nothing of its own, its total, and whether what follows does once, twice or more often."""
+    return [np.zeros(len(n), np.int64), n, n == 1, n == 2, n > 2]
+
+
+def _counts(part: DataFrame, shards: int) -> DataFrame:
+    """Counts of each shard's trigrams, dealt to the shards of their own keys; those of contexts are parts of sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _of_shards(batches, "shard"):
+            langs = _column(rows, "lang").to_pylist()
+            packed = _column(rows, "data")
+            for lang in dict.fromkeys(langs):
+                parts = []
+                for i, x in enumerate(langs):
+                    if x == lang:
+                        own, a, b, c, n = expand(packed[i].as_py())
+                        own = _summed(own)
+                        parts.append((own[a], own[b], own[c], n))
+                a, b, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ab = mix(a, b)
+                abc, first, at = np.unique(mix(ab, c), return_index=True, return_inverse=True)
+                n = np.bincount(at, n, len(abc)).astype(np.int64)
+                ab, b, c = ab[first], b[first], c[first]
+                bc, first, before = np.unique(mix(b, c), return_index=True, return_counts=True)
+                b, c = b[first], c[first]
+                zero, one = np.zeros(len(bc), np.int64), np.ones(len(bc), np.int64)
+                out = []
+                for kind, (keys, columns) in {
+                    TRIGRAMS: (abc, [n]),
+                    BIGRAMS: _together([bc, ab], [[before, zero, zero, zero, zero], _followed(ab, n)]),
+                    WORDS: _together([c, b], [[one, zero, zero, zero, zero], _followed(b, before)]),
+                }.items():
+                    order, bits, edges = dealt(keys, shards)
+                    for s in range(shards):
+                        some = slice(edges[s], edges[s + 1])
+                        if edges[s] < edges[s + 1]:
+                            out.append((s, lang, kind, 0, squeeze(_sorted(bits[some]), *(x[order[some]] for x in columns))))
+                yield _batch(out, PART_TYPES)
+
+    return part.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PART)
+
+
+LAW = "shard int, path string, lang string, kind int, types long, total long, n1 long, n2 long, n3 long, n4 long"
+LAW_TYPES = [(k, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for k, t in (x.split(" ") for x in LAW.split(", "))]
+
+
+def _write_shards(counts: DataFrame, shards: int, folder: str) -> DataFrame:
+    """Add up each shard's counts and write them to a file of the attempt's own; a row per shard, model and kind with what its discounts need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, langs, own, ids, tokens, first = Words(), [], [], [], 0, 0
-        for part in slices(batches):
-            for doc_id, lang, text, used in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                found = known.ids(text)
-                langs.append(used)
-                own.append((doc_id, lang))
-                ids.append(found)
-                tokens += len(found)
-                if len(ids) >= PACK_ROWS or tokens >= PACK_TOKENS:
-                    yield from rows(first, langs, own, ids)
-                    first += len(set(langs))
-                    langs, own, ids, tokens = [], [], [], 0
-        if ids:
-            yield from rows(first, langs, own, ids)
-
-    return texts.select("doc_id", "lang", "text", "model_lang").mapInArrow(run, PACKS)
-
-
-def _sums(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, a place of each, each row's place among them, and the sum of ``n`` or the number of rows."""
-    found, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return found, first, at, np.bincount(at, n, len(found)).astype(np.int64) if n is not None else np.bincount(at, minlength=len(found))
-
-
-class Counts:
-    """Counts of a shard's trusted trigrams in one language: trigrams as often as they occur, bigrams by the words before them."""
-
-    def __init__(self, parts: list[tuple]) -> None:
-        a, b, c = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        self.k3, first, _, self.n3 = _sums(mix(mix(a, b), c))
-        a, b, c = a[first], b[first], c[first]
-        self.kab = mix(a, b)
-        self.k2, first, self.at2, self.n2 = _sums(mix(b, c))
-        self.b, self.c = b[first], c[first]
-
-
-def _gamma(keys: np.ndarray, n: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts in order, each row's place among them, their totals and what their discounts leave."""
-    found, _, at, total = _sums(keys, n)
-    return found, at, total, np.bincount(at, d[np.minimum(n, 3) - 1], len(found)) / total
-
-
-class Model:
-    """A shard's log probabilities and log gammas as sorted arrays."""
-
-    def __init__(self, counts: Counts | None, d3: np.ndarray, d2: np.ndarray, unigrams: tuple[np.ndarray, np.ndarray]) -> None:
-        order = np.argsort(unigrams[0])
-        self.tables = {1: (unigrams[0][order], unigrams[1][order])}
-        if counts is None:
+        store, base = open_store(folder)
+        store.create_dir(base, recursive=True)
+        for shard, rows in _of_shards(batches, "shard"):
+            parts: dict[tuple[str, int], list] = {}
+            packed = _column(rows, "data")
+            for i, own in enumerate(zip(_column(rows, "lang").to_pylist(), _column(rows, "kind").to_pylist(), strict=True)):
+                keys, *columns = expand(packed[i].as_py())
+                parts.setdefault(own, []).append((_summed(keys), columns))
+            name, out, arrays = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}", [], {}
+            for i, ((lang, kind), own) in enumerate(sorted(parts.items())):
+                keys, columns = _together(*zip(*own, strict=True))
+                arrays[f"{i}"] = np.frombuffer(squeeze(_sorted(keys), *columns), np.uint8)
+                n = columns[0][columns[0] > 0]
+                out.append((shard, name, lang, kind, len(n), int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4))))
+            np.savez(raw := io.BytesIO(), names=np.array([f"{kind} {lang}" for _, _, lang, kind, *_ in out]), **arrays)
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(raw.getvalue())
+            yield _batch(out, LAW_TYPES)
+
+    return materialize(counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, LAW), "count-shards")
+
+
+class Shard:
+    """A shard's counts, opened for look-ups."""
+
+    def __init__(self, folder: str, name: str | None) -> None:
+        self.tables: dict[tuple[str, int], tuple[np.ndarray, list[np.ndarray]]] = {}
+        if name is None:
             return
-        p1 = np.exp(self.find(1, counts.c)[1])
-        kb, at, total, gamma = _gamma(counts.b, counts.n2, d2)
-        p2 = (counts.n2 - d2[np.minimum(counts.n2, 3) - 1]) / total[at] + gamma[at] * p1
-        self.tables |= {20: (kb, np.log(gamma)), 2: (counts.k2, np.log(p2))}
-        kab, at, total, gamma = _gamma(counts.kab, counts.n3, d3)
-        p3 = (counts.n3 - d3[np.minimum(counts.n3, 3) - 1]) / total[at] + gamma[at] * p2[counts.at2]
-        self.tables |= {30: (kab, np.log(gamma)), 3: (counts.k3, np.log(p3))}
-
-    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, values = self.tables.get(kind, (np.empty(0, np.int64), np.empty(0)))
-        if not len(own):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        seen = own[at] == keys
-        return seen, np.where(seen, values[at], 0.0)
-
-    def log(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log of each trigram's last word's probability, and the places where that of the unigram has still to be added."""
-        ab = mix(a, b)
-        seen, out = self.find(3, mix(ab, c))
-        left = np.flatnonzero(~seen)
-        out[left] += self.find(30, ab[left])[1]
-        seen, value = self.find(2, mix(b[left], c[left]))
-        out[left] += value
-        left = left[~seen]
-        out[left] += self.find(20, b[left])[1]
-        return out, left
+        store, base = open_store(folder)
+        with store.open_input_stream(f"{base}/{name}") as f:
+            held = np.load(io.BytesIO(f.read()))
+            for i, own in enumerate(held["names"].tolist()):
+                kind, _, lang = own.partition(" ")
+                keys, *columns = expand(held[f"{i}"].tobytes())
+                self.tables[lang, int(kind)] = (_summed(keys), columns)
+
+    def find(self, lang: str, kind: int, keys: np.ndarray) -> bytes:
+        """Which keys are here, as bits, and the counts of those."""
+        own, columns = self.tables.get((lang, kind), (np.empty(0, np.uint64), [np.empty(0, np.uint64)] * COLUMNS[kind]))
+        at = np.searchsorted(own, keys)
+        seen = np.zeros(len(keys), bool)
+        inside = at < len(own)
+        seen[inside] = own[at[inside]] == keys[inside]
+        return squeeze(np.packbits(seen), *(c[at[seen]] for c in columns))
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -189,138 +334,139 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     return np.array([min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), 0.95 * k) for k in (1, 2, 3)])
 
 
-def _arrays(part: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    return _unpack(part.column("words")[i].values.to_numpy(), part.column("data")[i].as_py())
+class Law:
+    """A model's discounts, the number of its distinct bigrams, and the share of each word that is not in it."""
+
+    def __init__(self, rows: dict[int, dict]) -> None:
+        self.d = {kind: discounts({k: r[f"n{k}"] for k in (1, 2, 3, 4)}) for kind, r in rows.items()}
+        one = rows[WORDS]
+        self.total = one["total"]
+        left = self.d[WORDS] @ [one["n1"], one["n2"], one["types"] - one["n1"] - one["n2"]]
+        self.unknown = left / self.total / (one["types"] + 1)  # one unknown token beside the words seen
+
+    def reduced(self, kind: int, n: np.ndarray) -> np.ndarray:
+        """Counts less their discounts; 0 stays 0."""
+        return np.where(n > 0, n - self.d[kind][np.clip(n, 1, 3) - 1], 0.0)
+
+    def logs(self, grams: Grams, counts: dict[int, np.ndarray]) -> np.ndarray:
+        """Natural log of the probability of each distinct trigram's last word. ``counts`` has a row per column and a key in order."""
+        one, two, three = (counts[k].astype(np.int64) for k in (WORDS, BIGRAMS, TRIGRAMS))
+        p = self.reduced(WORDS, one[0]) / self.total + self.unknown
+
+        def follow(kind: int, n: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+            total = np.maximum(context[1], 1)
+            return np.where(context[1] > 0, (self.reduced(kind, n) + (self.d[kind] @ context[2:]) * lower) / total, lower)
+
+        last = grams.two % len(p)
+        p2 = follow(BIGRAMS, two[0], one[:, grams.b], p[last])
+        return np.log(follow(TRIGRAMS, three[0], two[:, grams.ab], p2[grams.bc]))
+
+
+#: A pack: its documents and their words; and the answers to it, one row per shard and kind.
+PACK = "pack long, lang string, kind int, shard int, data binary, stream binary, docs array<long>, langs array<string>, sizes array<long>"
+PACK_TYPES = [("pack", pa.int64()), ("lang", pa.string()), ("kind", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("stream", pa.binary()), ("docs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
+
+
+def _make_packs(docs: DataFrame) -> DataFrame:
+    most = PACK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, lang, rows in _packs(batches, most):
+            words, stream, size = parted(_column(rows, "text"))
+            yield _batch([(number, lang, 0, -1, words.tobytes(), squeeze(stream), _column(rows, "doc_id").to_pylist(), _column(rows, "lang").to_pylist(), size.tolist())], PACK_TYPES)
+
+    return docs.mapInArrow(run, PACK)
+
+
+def _read_pack(row: pa.RecordBatch, i: int) -> Grams:
+    size = np.array(row.column("sizes")[i].as_py(), np.int64)
+    return Grams(np.frombuffer(row.column("data")[i].as_py(), np.uint64), expand(row.column("stream")[i].as_py())[0].astype(np.int64), size)
+
+
+def _asked(packs: DataFrame, shards: int) -> DataFrame:
+    """Requests: the distinct keys of a pack in a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for i in range(part.num_rows):
+                number, lang = part.column("pack")[i].as_py(), part.column("lang")[i].as_py()
+                for kind, keys in _read_pack(part, i).keys.items():
+                    _, bits, edges = dealt(keys, shards)
+                    out = [(s, lang, kind, number, squeeze(_sorted(bits[edges[s] : edges[s + 1]]))) for s in range(shards) if edges[s] < edges[s + 1]]
+                    yield _batch(out, PART_TYPES)
+
+    return packs.mapInArrow(run, PART)
+
+
+def _answered(asked: DataFrame, shards: int, folder: str, names: dict[int, str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple[int, Shard] | None = None
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part, out = batch.slice(low, 64), []
+                for s, lang, kind, number, data in zip(*(part.column(k).to_pylist() for k, _ in PART_TYPES), strict=True):
+                    if opened is None or opened[0] != s:
+                        opened = (s, Shard(folder, names.get(s)))
+                    out.append((number, lang, kind, s, opened[1].find(lang, kind, _summed(expand(data)[0])), None, None, None, None))
+                yield _batch(out, PACK_TYPES)
+
+    return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PACK)
+
+
+def _scored(rows: DataFrame, shards: int, laws: dict[str, Law]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _of_shards(batches, "pack"):
+            head = parts[0]  # kind 0 comes first
+            grams = _read_pack(head, 0)
+            lang, sizes = head.column("lang")[0].as_py(), np.array(head.column("sizes")[0].as_py(), np.int64)
+            answers = {(k, s): part.column("data")[i] for part in parts for i, (k, s) in enumerate(zip(part.column("kind").to_pylist(), part.column("shard").to_pylist(), strict=True)) if k}
+            counts = {}
+            for kind, keys in grams.keys.items():
+                order, _, edges = dealt(keys, shards)
+                found = np.zeros((COLUMNS[kind], len(keys)), np.uint32)
+                for s in range(shards):
+                    if edges[s] < edges[s + 1]:
+                        seen, *columns = expand(answers[kind, s].as_py())
+                        own = order[edges[s] : edges[s + 1]]
+                        found[:, own[np.unpackbits(seen.astype(np.uint8), count=len(own)).astype(bool)]] = columns
+                counts[kind] = found
+            log = laws[lang].logs(grams, counts)
+            total = np.add.reduceat(log[grams.at], grams.begins)
+            yield pa.RecordBatch.from_arrays(
+                [head.column("docs")[0].values, head.column("langs")[0].values, pa.array([lang] * len(sizes), pa.string()), pa.array(sizes), pa.array(-total / (sizes + 1))], ["doc_id", "lang", "model_lang", "n_tokens", "entropy"]
+            )
+
+    dealt_rows = rows.repartition(spread(rows.sparkSession), "pack").sortWithinPartitions("pack", "kind", "shard")
+    return dealt_rows.mapInArrow(run, "doc_id long, lang string, model_lang string, n_tokens long, entropy double")
 
 
 def entropies(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(doc_id, lang, model_lang, n_tokens, entropy)`` per row of ``docs`` under the models of ``texts``.
 
     Both have ``(doc_id, lang, text, model_lang)``; every model_lang of ``docs`` has a text. Entropy is the mean of -ln p
-    over a document's words and its end.
+    over a document's words and its end. Null texts are empty; rows without an id, and repeated ones, are scored one by one.
     """
     spark = docs.sparkSession
-    shards = spread(spark)
-    train = packs(texts, shards).where("data is not null")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {}
-        shard = 0
-        for part in batches:
-            for i, lang in enumerate(part.column("lang").to_pylist()):
-                parts.setdefault(lang, []).append(_arrays(part, i)[:3])
-                shard = part.column("shard")[i].as_py()
-        for lang, own in parts.items():
-            c = Counts(own)
-            words, n = np.unique(c.c, return_counts=True)
-            kinds = [(k, np.arange(1, 5), np.bincount(np.minimum(x, 5), minlength=6)[1:5]) for k, x in ((3, c.n3), (2, c.n2))]
-            for kind, key, n in [*kinds, (1, words, n)]:
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(key), t) for x, t in ((shard, pa.int32()), (lang, pa.string()), (kind, pa.int32()))] + [pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["shard", "lang", "kind", "key", "n"])
-
-    placed = train.select("shard", "lang", "words", "data").repartitionById(shards, "shard")
-    counted = materialize(placed.mapInArrow(count, "shard int, lang string, kind int, key long, n long"), "counts")
-    ones = materialize(counted.where("kind = 1").groupBy("lang", "key").agg(F.sum("n").alias("n")), "unigrams")
-    # a few numbers per model: the counts of counts, and the unigrams' number and sum
-    told: dict[tuple[str, int], dict[int, int]] = {}
-    small = counted.where("kind > 1").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    for r in small.unionByName(ones.where("n < 5").groupBy("lang", F.lit(1).alias("kind"), F.col("n").alias("key")).agg(F.count("*").alias("n"))).collect():
-        told.setdefault((r["lang"], r["kind"]), {})[r["key"]] = r["n"]
-    law, rows = {}, []
-    left = [F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") >= 3).alias("k3")]
-    for r in ones.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("types"), *left).collect():
-        d1, d2, d3 = (discounts(told.get((r["lang"], k), {})) for k in (1, 2, 3))
-        # one unknown token beside the words seen
-        p0 = float(d1 @ [r["k1"], r["k2"], r["k3"]]) / r["total"] / (r["types"] + 1)
-        law[r["lang"]] = (d3, d2, float(np.log(p0)))
-        rows.append((r["lang"], *map(float, d1), float(r["total"]), p0))
-    laws = F.broadcast(spark.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double, total double, p0 double"))
-    p1 = ones.join(laws, "lang").selectExpr("lang", "key", "ln((n - case when n = 1 then d1 when n = 2 then d2 else d3 end) / total + p0) as value")
-    p1 = materialize(p1, "p1")
-
-    def given(df: DataFrame) -> DataFrame:
-        return df.selectExpr("0 as kind", "0L as batch", "shard", "lang", "array(key) as words", "cast(null as binary) as data", "value", *(f"cast(null as array<{t}>) as {c}" for c, t in (("docs", "long"), ("langs", "string"), ("sizes", "long"))))
-
-    def rest(df: DataFrame, kind: str) -> DataFrame:
-        return df.selectExpr(f"{kind} as kind", "batch", "shard", "lang", "words", "data", "0D as value", "docs", "langs", "sizes")
-
-    def heads(part: pa.RecordBatch, langs: np.ndarray, words: dict[str, list]) -> int:
-        """The number of rows of kind 0, which come first with a word each; their values go to ``words``."""
-        n = int((part.column("kind").to_numpy() == 0).sum())
-        keys, values = part.column("words").slice(0, n).flatten().to_numpy(), part.column("value").to_numpy()[:n]
-        for lang in set(langs[:n]):
-            words.setdefault(lang, []).append((keys[langs[:n] == lang], values[langs[:n] == lang]))
-        return n
-
-    def joined(parts: list[tuple] | None) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.concatenate(y) for y in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0))
-
-    def passed(batch, shard, lang, words=None, data=None, sums=None, names=(None, None, None)) -> pa.RecordBatch:
-        row = [batch, shard, lang, words, data, sums, *names]
-        types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["batch", "shard", "lang", "words", "data", "sums", "docs", "langs", "sizes"])
-
-    moved = "batch long, shard int, lang string, words array<long>, data binary, sums binary, docs array<long>, langs array<string>, sizes array<long>"
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, list] = {}
-        parts: dict[str, list] = {}
-        models: dict[str, Model] | None = None
-        for part in batches:
-            langs = np.array(part.column("lang").to_pylist(), object)
-            kind = part.column("kind").to_numpy()
-            for i in range(heads(part, langs, words), part.num_rows):
-                batch, shard, lang = part.column("batch")[i].as_py(), part.column("shard")[i].as_py(), langs[i]
-                if kind[i] == 1:
-                    parts.setdefault(lang, []).append(_arrays(part, i)[:3])
-                elif kind[i] == 3:
-                    yield passed(batch, -1, lang, names=tuple(part.column(c)[i].as_py() for c in ("docs", "langs", "sizes")))
-                else:
-                    if models is None:
-                        models = {x: Model(Counts(parts.pop(x)) if x in parts else None, d3, d2, joined(words.get(x))) for x, (d3, d2, _) in law.items()}
-                    a, b, c, doc = _arrays(part, i)
-                    log, left = models[lang].log(a, b, c)
-                    yield passed(batch, shard, lang, sums=np.bincount(doc, log).tobytes())
-                    # the rest by the shard of the last word, each word with the number of times
-                    c, doc = c[left], doc[left]
-                    to = ((c.view(np.uint64) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                    for x in np.unique(to):
-                        pick = to == x
-                        own, at = np.unique(c[pick], return_inverse=True)
-                        raw = np.stack([at, doc[pick]]).astype("<u4").tobytes()
-                        yield passed(batch, int(x), lang, own, len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
-
-    own = counted.where("kind = 1").select("shard", "lang", "key").join(p1.hint("merge"), ["lang", "key"])
-    score = rest(packs(docs, shards), "case when data is null then 3 else 2 end")
-    met = given(own).unionByName(rest(train, "1")).unionByName(score).repartitionById(shards, "shard").sortWithinPartitions("kind")
-    first = materialize(met.mapInArrow(look_up, moved), "sums")
-
-    def look_up_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, list] = {}
-        tables: dict[str, Model] | None = None
-        for part in batches:
-            langs = np.array(part.column("lang").to_pylist(), object)
-            for i in range(heads(part, langs, words), part.num_rows):
-                if tables is None:
-                    tables = {x: Model(None, d3, d2, joined(words.get(x))) for x, (d3, d2, _) in law.items()}
-                seen, value = tables[langs[i]].find(1, part.column("words")[i].values.to_numpy())
-                data = part.column("data")[i].as_py()
-                at, doc = np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<u4").reshape(2, -1)
-                sums = np.bincount(doc, np.where(seen, value, law[langs[i]][2])[at])
-                yield passed(part.column("batch")[i].as_py(), shards + part.column("shard")[i].as_py(), langs[i], sums=sums.tobytes())
-
-    shard_of = f"cast(pmod(shiftrightunsigned(key, 20), {shards}L) as int) as shard"
-    last = given(p1.selectExpr(shard_of, "lang", "key", "value")).unionByName(rest(first.where("data is not null"), "1")).repartitionById(shards, "shard").sortWithinPartitions("kind")
-    summed = first.where("data is null").unionByName(last.mapInArrow(look_up_last, moved)).select("batch", "shard", "lang", "sums", "docs", "langs", "sizes")
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("shard").to_pylist(), table.column("sums").to_pylist(), range(table.num_rows), strict=True), key=lambda x: (x[0], x[1] or b""))  # in a fixed order sums are the same each time
-        head = rows[0][2]
-        size = np.array(table.column("sizes")[head].as_py())
-        total = np.zeros(len(size))
-        for _, sums, _ in rows[1:]:
-            some = np.frombuffer(sums)
-            total[: len(some)] += some
-        used = [table.column("lang")[head].as_py()] * len(size)
-        return pa.table([pa.array(table.column("docs")[head].as_py(), pa.int64()), pa.array(table.column("langs")[head].as_py(), pa.string()), pa.array(used, pa.string()), pa.array(size - 1, pa.int64()), pa.array(-total / size)], ["doc_id", "lang", "model_lang", "n_tokens", "entropy"])
-
-    return summed.groupBy("batch").applyInArrow(add, "doc_id long, lang string, model_lang string, n_tokens long, entropy double")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spread(spark), -(-size // SHARD_BYTES))
+    columns = ("doc_id", "lang", "text", "model_lang")
+    counts = materialize(_counts(_trusted_grams(texts.select(*columns), shards), shards), "counts")
+    folder = work_dir(spark, "count-shards")
+    manifest = _write_shards(counts, shards, folder)
+    discard(counts)
+    names = {r["shard"]: r["path"] for r in manifest.select("shard", "path").distinct().collect()}  # a row per shard
+    told: dict[str, dict[int, dict]] = {}
+    for r in manifest.groupBy("lang", "kind").agg(*(F.sum(k).alias(k) for k in ("types", "total", "n1", "n2", "n3", "n4"))).collect():
+        told.setdefault(r["lang"], {})[r["kind"]] = r.asDict()
+    laws = {lang: Law(rows) for lang, rows in told.items()}
+    found = None
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(BLOCKS))
+    for i in range(BLOCKS):
+        packs = materialize(_make_packs(docs.where(block == i).select(*columns)), "packs")
+        answers = _answered(_asked(packs, shards), shards, folder, names)
+        scored = materialize(_scored(packs.unionByName(answers), shards, laws), "entropies")
+        discard(packs)
+        found = scored if found is None else found.unionByName(scored)
+    remove(spark, folder)
+    discard(manifest)
+    return found

@@ -1,8 +1,6 @@
-import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from loomwork.llm import decontamination, quality, suffix_dedup
@@ -99,66 +97,6 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.leaks(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-class Plain:
-    """Interpolated modified Kneser-Ney, written from its formulas over dictionaries."""
-
-    def __init__(self, trigrams, size):
-        self.size = size
-        self.c3 = Counter()
-        for g, n in trigrams.items():
-            self.c3[(g >> 32, g >> 16 & 65535, g & 65535)] += n
-        self.c2 = Counter((b, c) for _, b, c in self.c3)
-        self.c1 = Counter(c for _, c in self.c2)
-        self.d = [self.discounts(c) for c in (self.c1, self.c2, self.c3)]
-
-    @staticmethod
-    def discounts(c):
-        n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), 0.95 * k) for k in (1, 2, 3)]
-
-    def part(self, counts, context, token, d, lower):
-        here = {k[-1]: v for k, v in counts.items() if k[:-1] == context}
-        if not here:
-            return lower
-        total, c = sum(here.values()), here.get(token, 0)
-        gamma = sum(d[min(v, 3) - 1] for v in here.values()) / total
-        return (c - d[min(c, 3) - 1] if c else 0) / total + gamma * lower
-
-    def p(self, a, b, c):
-        one = self.part({(k,): v for k, v in self.c1.items()}, (), c, self.d[0], 1 / self.size)
-        two = self.part(self.c2, (b,), c, self.d[1], one)
-        return self.part(self.c3, (a, b), c, self.d[2], two)
-
-
-def test_kneser_ney_against_formulas(spark):
-    random.seed(3)
-    texts = [" ".join(random.choice(["the", "of", "ab", "Cd", "x.", "the"]) for _ in range(random.randrange(1, 30))) for _ in range(60)]
-    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    vocabulary = quality.vocabularies(df)
-    assert vocabulary["en"] == sorted({w for t in texts for w in t.split()})
-    grams = quality.counts(df, vocabulary)
-    size = len(quality.SHAPES) + len(vocabulary["en"])
-    model = quality.train(grams, {"en": size})
-    plain = Plain({r.gram: r.n for r in grams.collect()}, size)
-    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate([*texts[:5], "zz QQ 12 !!", "", None, "the the the the the"])], "doc_id long, lang string, text string")
-    tokens = quality.Tokens(vocabulary["en"])
-    got = {r.doc_id: r for r in quality.entropies(docs, model, vocabulary, by_joins=False).collect()}
-    joined = {r.doc_id: r for r in quality.entropies(docs, model, vocabulary, by_joins=True).collect()}
-    for r in docs.collect():
-        grams_ = quality.trigrams(tokens.ids(r.text)).tolist()
-        want = -sum(math.log(plain.p(g >> 32, g >> 16 & 65535, g & 65535)) for g in grams_) / len(grams_)
-        assert math.isclose(got[r.doc_id].entropy, want, rel_tol=1e-9) and math.isclose(joined[r.doc_id].entropy, want, rel_tol=1e-9)
-        assert got[r.doc_id].n_tokens == joined[r.doc_id].n_tokens == len(grams_) - 1
-
-
-def test_tokens():
-    t = quality.Tokens(["the"])
-    name = [*quality.SHAPES, "the"]
-    assert [name[i] for i in t.ids("the Ab, QUX!! 12 x|y a a a a a %%").tolist()] == ["<s>", "<s>", "the", "<cap,>", "<upper!>", "<num>", "<mixed>", "<low>", "<again>", "<still>", "<run>", "<run>", "<punct%>", "</s>"]
-    assert t.ids(None).tolist() == [0, 0, 1] and np.array_equal(t.ids(" "), t.ids(None))
-
-
 def test_quality_keeps_good_and_drops_junk(spark):
     random.seed(1)
     words = "the of and to in was for with that this".split()
@@ -171,3 +109,13 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert len(kept & set(range(300))) >= 297 and not kept & set(range(1000, 1020))
     assert quality.keep_good(df, lab.limit(0)).count() == len(docs)
     assert quality.scores(df.limit(0), lab).count() == 0
+
+
+def test_quality_judges_rows_without_id_alone(spark):
+    random.seed(4)
+    words = "the of and to in was for with that this".split()
+    good = lambda: " ".join(random.choices(words, k=100))
+    junk = lambda: " ".join(f"q{random.random()}" for _ in range(100))
+    docs = [(i, good(), "en") for i in range(200)] + [(None, junk(), "en") for _ in range(5)] + [(None, good(), "en")]
+    kept = quality.keep_good(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert [r.text for r in kept.where("doc_id is null").collect()] == [docs[-1][1]]

@@ -31,7 +31,7 @@ def test_all_words_against_formulas(spark, monkeypatch):
     texts = [" ".join(random.choice(many if random.random() < 0.5 else ["the", "of", "x."]) for _ in range(random.randrange(60))) for _ in range(80)]
     docs = list(enumerate([*texts[:5], "zz w1 QQ the of", "the the the the", "", None, " ".join(many[:200])]))
     want = slow(texts, docs)
-    monkeypatch.setattr(word_model, "PACK_ROWS", 7)
+    monkeypatch.setattr(word_model, "PACK_BYTES", 900)
     frame = lambda rows: spark.createDataFrame([(i, "en", t, m) for i, t in rows for m in ("en", "*")], "doc_id long, lang string, text string, model_lang string").repartition(3)
     got = word_model.entropies(frame(docs), frame(list(enumerate(texts)))).collect()
     assert sorted((r.doc_id, r.model_lang) for r in got) == sorted((i, m) for i, _ in docs for m in ("en", "*"))
