@@ -33,8 +33,8 @@ from .common import discard, materialize, open_store, remove, slices, spread, wo
 START, END = 0, 1
 #: Bytes of text that are packed together; documents are looked up in so many blocks, one after the other, so that only a block's requests lie on disk.
 PACK_BYTES, BLOCKS = 12 << 20, 4
-#: Trusted text of one shard, at most about.
-SHARD_BYTES = 64 << 20
+#: Trusted text of one shard, at most about, and the least number of shards: it follows the text, not the cluster, as every pack has a row in every shard.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 12
 KEY_BITS = 40
 WORDS, BIGRAMS, TRIGRAMS = 1, 2, 3
 #: Counts of a key: of itself, then as a context its total and how many words follow once, twice, more often.
@@ -177,8 +177,8 @@ def _column(rows: list[pa.RecordBatch], name: str) -> pa.Array:
 
 
 #: Trusted trigrams of a pack in a shard: words, then places among them and counts. Also counts of a shard's keys, and of requests and answers.
-PART = "shard int, lang string, kind int, pack long, data binary"
-PART_TYPES = [("shard", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())]
+PART = "shard int, lang string, pack long, data binary"
+PART_TYPES = [("shard", pa.int32()), ("lang", pa.string()), ("pack", pa.int64()), ("data", pa.binary())]
 
 
 def _of_shards(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -216,7 +216,7 @@ def _trusted_grams(texts: DataFrame, shards: int) -> DataFrame:
                     own, at = np.unique(words[abc.ravel()], return_inverse=True)
                     a, b, c = at.reshape(3, -1)
                     by = np.lexsort((a, c, b))
-                    out.append((s, lang, 0, number, squeeze(_sorted(own), a[by], b[by], c[by], grams.n[some][by])))
+                    out.append((s, lang, number, squeeze(_sorted(own), a[by], b[by], c[by], grams.n[some][by])))
             yield _batch(out, PART_TYPES)
 
     return texts.mapInArrow(run, PART)
@@ -256,17 +256,20 @@ def _counts(part: DataFrame, shards: int) -> DataFrame:
                 bc, first, before = np.unique(mix(b, c), return_index=True, return_counts=True)
                 b, c = b[first], c[first]
                 zero, one = np.zeros(len(bc), np.int64), np.ones(len(bc), np.int64)
-                out = []
-                for kind, (keys, columns) in {
-                    TRIGRAMS: (abc, [n]),
-                    BIGRAMS: _together([bc, ab], [[before, zero, zero, zero, zero], _followed(ab, n)]),
+                tables = {
                     WORDS: _together([c, b], [[one, zero, zero, zero, zero], _followed(b, before)]),
-                }.items():
-                    order, bits, edges = dealt(keys, shards)
-                    for s in range(shards):
+                    BIGRAMS: _together([bc, ab], [[before, zero, zero, zero, zero], _followed(ab, n)]),
+                    TRIGRAMS: (abc, [n]),
+                }
+                order = {kind: dealt(keys, shards) for kind, (keys, _) in tables.items()}
+                out = []
+                for s in range(shards):
+                    parts = []
+                    for kind, (_, columns) in tables.items():
+                        at, bits, edges = order[kind]
                         some = slice(edges[s], edges[s + 1])
-                        if edges[s] < edges[s + 1]:
-                            out.append((s, lang, kind, 0, squeeze(_sorted(bits[some]), *(x[order[some]] for x in columns))))
+                        parts += [_sorted(bits[some]), *(x[at[some]] for x in columns)]
+                    out.append((s, lang, 0, squeeze(*parts)))
                 yield _batch(out, PART_TYPES)
 
     return part.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PART)
@@ -285,9 +288,12 @@ def _write_shards(counts: DataFrame, shards: int, folder: str) -> DataFrame:
         for shard, rows in _of_shards(batches, "shard"):
             parts: dict[tuple[str, int], list] = {}
             packed = _column(rows, "data")
-            for i, own in enumerate(zip(_column(rows, "lang").to_pylist(), _column(rows, "kind").to_pylist(), strict=True)):
-                keys, *columns = expand(packed[i].as_py())
-                parts.setdefault(own, []).append((_summed(keys), columns))
+            for i, lang in enumerate(_column(rows, "lang").to_pylist()):
+                columns = expand(packed[i].as_py())
+                for kind, n in COLUMNS.items():
+                    keys, *own = columns[: n + 1]
+                    del columns[: n + 1]
+                    parts.setdefault((lang, kind), []).append((_summed(keys), own))
             name, out, arrays = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}", [], {}
             for i, ((lang, kind), own) in enumerate(sorted(parts.items())):
                 keys, columns = _together(*zip(*own, strict=True))
@@ -317,14 +323,14 @@ class Shard:
                 keys, *columns = expand(held[f"{i}"].tobytes())
                 self.tables[lang, int(kind)] = (_summed(keys), columns)
 
-    def find(self, lang: str, kind: int, keys: np.ndarray) -> bytes:
+    def find(self, lang: str, kind: int, keys: np.ndarray) -> list[np.ndarray]:
         """Which keys are here, as bits, and the counts of those."""
         own, columns = self.tables.get((lang, kind), (np.empty(0, np.uint64), [np.empty(0, np.uint64)] * COLUMNS[kind]))
         at = np.searchsorted(own, keys)
         seen = np.zeros(len(keys), bool)
         inside = at < len(own)
         seen[inside] = own[at[inside]] == keys[inside]
-        return squeeze(np.packbits(seen), *(c[at[seen]] for c in columns))
+        return [np.packbits(seen), *(c[at[seen]] for c in columns)]
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -362,9 +368,9 @@ class Law:
         return np.log(follow(TRIGRAMS, three[0], two[:, grams.ab], p2[grams.bc]))
 
 
-#: A pack: its documents and their words; and the answers to it, one row per shard and kind.
-PACK = "pack long, lang string, kind int, shard int, data binary, stream binary, docs array<long>, langs array<string>, sizes array<long>"
-PACK_TYPES = [("pack", pa.int64()), ("lang", pa.string()), ("kind", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("stream", pa.binary()), ("docs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
+#: A pack, its documents and their words, as shard -1; and the answers to it, one row per shard.
+PACK = "pack long, lang string, shard int, data binary, stream binary, docs array<long>, langs array<string>, sizes array<long>"
+PACK_TYPES = [("pack", pa.int64()), ("lang", pa.string()), ("shard", pa.int32()), ("data", pa.binary()), ("stream", pa.binary()), ("docs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
 
 
 def _make_packs(docs: DataFrame) -> DataFrame:
@@ -373,7 +379,7 @@ def _make_packs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, lang, rows in _packs(batches, most):
             words, stream, size = parted(_column(rows, "text"))
-            yield _batch([(number, lang, 0, -1, words.tobytes(), squeeze(stream), _column(rows, "doc_id").to_pylist(), _column(rows, "lang").to_pylist(), size.tolist())], PACK_TYPES)
+            yield _batch([(number, lang, -1, words.tobytes(), squeeze(stream), _column(rows, "doc_id").to_pylist(), _column(rows, "lang").to_pylist(), size.tolist())], PACK_TYPES)
 
     return docs.mapInArrow(run, PACK)
 
@@ -390,10 +396,8 @@ def _asked(packs: DataFrame, shards: int) -> DataFrame:
         for part in batches:
             for i in range(part.num_rows):
                 number, lang = part.column("pack")[i].as_py(), part.column("lang")[i].as_py()
-                for kind, keys in _read_pack(part, i).keys.items():
-                    _, bits, edges = dealt(keys, shards)
-                    out = [(s, lang, kind, number, squeeze(_sorted(bits[edges[s] : edges[s + 1]]))) for s in range(shards) if edges[s] < edges[s + 1]]
-                    yield _batch(out, PART_TYPES)
+                order = [dealt(keys, shards)[1:] for keys in _read_pack(part, i).keys.values()]
+                yield _batch([(s, lang, number, squeeze(*(_sorted(bits[edges[s] : edges[s + 1]]) for bits, edges in order))) for s in range(shards)], PART_TYPES)
 
     return packs.mapInArrow(run, PART)
 
@@ -404,10 +408,11 @@ def _answered(asked: DataFrame, shards: int, folder: str, names: dict[int, str])
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part, out = batch.slice(low, 64), []
-                for s, lang, kind, number, data in zip(*(part.column(k).to_pylist() for k, _ in PART_TYPES), strict=True):
+                for s, lang, number, data in zip(*(part.column(k).to_pylist() for k, _ in PART_TYPES), strict=True):
                     if opened is None or opened[0] != s:
                         opened = (s, Shard(folder, names.get(s)))
-                    out.append((number, lang, kind, s, opened[1].find(lang, kind, _summed(expand(data)[0])), None, None, None, None))
+                    found = [x for kind, keys in zip(COLUMNS, expand(data), strict=True) for x in opened[1].find(lang, kind, _summed(keys))]
+                    out.append((number, lang, s, squeeze(*found), None, None, None, None))
                 yield _batch(out, PACK_TYPES)
 
     return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PACK)
@@ -416,19 +421,17 @@ def _answered(asked: DataFrame, shards: int, folder: str, names: dict[int, str])
 def _scored(rows: DataFrame, shards: int, laws: dict[str, Law]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _of_shards(batches, "pack"):
-            head = parts[0]  # kind 0 comes first
+            head = parts[0]  # the pack itself comes first
             grams = _read_pack(head, 0)
             lang, sizes = head.column("lang")[0].as_py(), np.array(head.column("sizes")[0].as_py(), np.int64)
-            answers = {(k, s): part.column("data")[i] for part in parts for i, (k, s) in enumerate(zip(part.column("kind").to_pylist(), part.column("shard").to_pylist(), strict=True)) if k}
+            answers = [expand(x.as_py()) for x in _column(parts, "data")[1:]]  # from each shard, in order
             counts = {}
             for kind, keys in grams.keys.items():
                 order, _, edges = dealt(keys, shards)
                 found = np.zeros((COLUMNS[kind], len(keys)), np.uint32)
-                for s in range(shards):
-                    if edges[s] < edges[s + 1]:
-                        seen, *columns = expand(answers[kind, s].as_py())
-                        own = order[edges[s] : edges[s + 1]]
-                        found[:, own[np.unpackbits(seen.astype(np.uint8), count=len(own)).astype(bool)]] = columns
+                for s, columns in enumerate(answers):
+                    seen, own = columns.pop(0), order[edges[s] : edges[s + 1]]
+                    found[:, own[np.unpackbits(seen.astype(np.uint8), count=len(own)).astype(bool)]] = [columns.pop(0) for _ in range(COLUMNS[kind])]
                 counts[kind] = found
             log = laws[lang].logs(grams, counts)
             total = np.add.reduceat(log[grams.at], grams.begins)
@@ -436,7 +439,7 @@ def _scored(rows: DataFrame, shards: int, laws: dict[str, Law]) -> DataFrame:
                 [head.column("docs")[0].values, head.column("langs")[0].values, pa.array([lang] * len(sizes), pa.string()), pa.array(sizes), pa.array(-total / (sizes + 1))], ["doc_id", "lang", "model_lang", "n_tokens", "entropy"]
             )
 
-    dealt_rows = rows.repartition(spread(rows.sparkSession), "pack").sortWithinPartitions("pack", "kind", "shard")
+    dealt_rows = rows.repartition(spread(rows.sparkSession), "pack").sortWithinPartitions("pack", "shard")
     return dealt_rows.mapInArrow(run, "doc_id long, lang string, model_lang string, n_tokens long, entropy double")
 
 
@@ -448,7 +451,7 @@ def entropies(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(spread(spark), -(-size // SHARD_BYTES))
+    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
     columns = ("doc_id", "lang", "text", "model_lang")
     counts = materialize(_counts(_trusted_grams(texts.select(*columns), shards), shards), "counts")
     folder = work_dir(spark, "count-shards")
