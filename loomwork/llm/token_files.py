@@ -1,7 +1,7 @@
 """Token-id shards: raw ids in ascending key order, and a minimal perfect hash index per shard for constant-time keyed access.
 
-A shard is two files. ``shard-N.ids`` holds the ids of its documents one after the other, in ascending key order, as
-little-endian unsigned integers of 2 bytes, or of 4 where the vocabulary needs them. ``shard-N.idx`` is a numpy archive:
+A shard is two files. ``shard-N-attempt.ids`` holds the ids of its documents one after the other, in ascending key order, as
+little-endian unsigned integers of 2 bytes, or of 4 where the vocabulary needs them. ``shard-N-attempt.idx`` is a numpy archive:
 
 * ``keys`` int64, the distinct keys in order; ``first`` int64, the row at which each begins; ``nulls``, how many rows with a null key come first
 * ``ends`` int64, per row the number of ids up to its end
@@ -12,6 +12,7 @@ little-endian unsigned integers of 2 bytes, or of 4 where the vocabulary needs t
 
 from __future__ import annotations
 
+import bisect
 import io
 import os
 import re
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, open_store, publish, slices, spread, work_dir
+from .common import id_and_text, materialize, open_store, slices, spread, work_dir
 
 REMEMBERED, LONGEST = 2_000_000, 48
 #: Bytes of payload that a reader holds at once, unless one document is longer.
@@ -45,12 +46,25 @@ class ByteEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.leads = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.leads[[i for token, i in self.library.get_vocab().items() if token[0] == "\u0120"]] = True  # the byte-level form of a blank
         self.known: dict[str, bytes] = {}  # by piece without the blank before it
         self.between = re.compile(r"(?<=\S) (?=\S)")
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [np.array(found.ids, f"<u{self.width}").tobytes() for at in range(0, len(pieces), 4096) for found in self.library.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of clean pieces, each with the blank before it: encoded as one text, whose only tokens with a blank at their start begin the pieces."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            edges = (np.append(np.flatnonzero(self.leads[ids]), len(ids)) * self.width).tolist()
+            raw = ids.tobytes()
+            out += map(raw.__getitem__, map(slice, edges, edges[1:])) if len(edges) == len(some) + 1 else self._pieces([" " + p for p in some])
+        return out
+
     @staticmethod
     def _clean(piece: str) -> bool:
         return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
@@ -65,23 +79,31 @@ class ByteEncoder:
             self.known.clear()
         get = self.known.get
         parted = [(t or "").split(" ") for t in texts]
-        rest = [list(map(get, parts[1:])) for parts in parted]
-        new: dict[str, bytes] = {}
-        for i, found in enumerate(rest):
-            parts = parted[i]
-            missed = [p for p, x in zip(parts[1:], found, strict=True) if x is None] if None in found else []
-            if parts[0] and len(parts) > 1 and parts[0][-1].isspace() or not all(map(self._clean, missed)):
-                parts = parted[i] = self.between.split(texts[i])
-                found = rest[i] = list(map(get, parts[1:]))
-                missed = [p for p, x in zip(parts[1:], found, strict=True) if x is None]
-            new.update(dict.fromkeys(missed, b""))
-        firsts = self._pieces([parts[0] for parts in parted])
-        new = dict(zip(new, self._pieces([" " + p for p in new]), strict=True))
-        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST and self._clean(p))
+        firsts, rest, holes, new = [], [], [], {}
+        other: dict[str, bytes] = {}
+        for i, parts in enumerate(parted):
+            first = parts[0]
+            del parts[0]
+            found = list(map(get, parts))
+            open_ = [j for j, x in enumerate(found) if x is None] if None in found else []
+            if first and parts and first[-1].isspace() or not all(self._clean(parts[j]) for j in open_):
+                first, *parts = self.between.split(texts[i])
+                parted[i], found = parts, list(map(get, parts))
+                open_ = [j for j, x in enumerate(found) if x is None]
+                other.update((parts[j], b"") for j in open_ if not self._clean(parts[j]))
+            new.update((parts[j], b"") for j in open_)
+            firsts.append(first)
+            rest.append(found)
+            holes.append(open_)
+        other = dict(zip(other, self._pieces([" " + p for p in other]), strict=True))
+        clean = [p for p in new if p not in other] if other else list(new)
+        new = dict(zip(clean, self._words(clean), strict=True))
+        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST)
+        new |= other
         out = []
-        for first, parts, found in zip(firsts, parted, rest, strict=True):
-            if None in found:
-                found = [x if x is not None else new[p] for p, x in zip(parts[1:], found, strict=True)]
+        for first, parts, found, open_ in zip(self._pieces(firsts), parted, rest, holes, strict=True):
+            for j in open_:
+                found[j] = new[parts[j]]
             out.append(first + b"".join(found))
         return out
 
@@ -158,9 +180,9 @@ def index_bytes(keys: np.ndarray, nulls: int, ends: np.ndarray, width: int) -> b
 class Shard:
     """One shard opened for reading."""
 
-    def __init__(self, folder: str, number: int) -> None:
+    def __init__(self, folder: str, name: str) -> None:
         self.store, path = open_store(folder)
-        self.path = f"{path}/shard-{number:06d}"
+        self.path = f"{path}/{name}"
         with self.store.open_input_stream(f"{self.path}.idx") as f:
             found = np.load(io.BytesIO(f.read()))
             self.keys, self.first, self.ends, self.row, self.prints = (found[k] for k in ("keys", "first", "ends", "slot_row", "slot_print"))
@@ -188,14 +210,37 @@ class Shard:
             return np.frombuffer(f.read_at((int(self.ends[row]) - start) * self.width, start * self.width), f"<u{self.width}")
 
 
+class Tokens:
+    """All shards of a manifest: a key's range leads to the one shard that can hold it."""
+
+    def __init__(self, manifest: DataFrame, folder: str) -> None:
+        self.folder, self.open = folder, {}
+        self.rows = manifest.where("least is not null").select("name", "least", "most").orderBy("shard").collect()  # a row per shard
+        self.most = [r["most"] for r in self.rows]
+
+    def read(self, key: int) -> np.ndarray | None:
+        """The ids of a key's first row; None if no shard has it. Opens the index of one shard, and reads the key's bytes only."""
+        at = bisect.bisect_left(self.most, key)
+        if at == len(self.rows) or key < self.rows[at]["least"]:
+            return None
+        if at not in self.open:
+            self.open[at] = Shard(self.folder, self.rows[at]["name"])
+        return self.open[at].read(key)
+
+
+MANIFEST = "shard int, name string, least long, most long, n_docs long, n_tokens long"
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, append ``end_id`` to each document and write shards to ``folder``; returns the manifest, a row per shard.
 
     Shards are ranges of keys in ascending order, null keys first. Null and empty texts are the end id alone. Rows that
-    repeat a key stay, one after the other; the index leads to the first. Empty table: empty manifest. Files are written
-    under a name of the attempt's own and then moved, so a task can run again.
+    repeat a key, or have none, stay, in the order of their texts' hashes, by which a range of them is parted too; the index
+    leads to the first. Empty table: empty manifest. A shard's files have a name of the attempt's own, which the manifest
+    tells together with the least and greatest key, so a task can run again and a reader never mixes attempts.
     """
-    ranged = id_and_text(docs, id_col, text_col).repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64("text"))
+    ranged = id_and_text(docs, id_col, text_col).repartitionByRange(spread(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,12 +249,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
         number = context.partitionId()
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        name = f"{base}/shard-{number:06d}"
-        temporary = f"{base}/.{number:06d}-{context.taskAttemptId()}"
+        name = f"shard-{number:06d}-{context.taskAttemptId()}"
         keys, ends, total, nulls, out = [], [], 0, 0, None
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         for part in slices(batches):
-            out = out or store.open_output_stream(f"{temporary}.ids")
+            out = out or store.open_output_stream(f"{base}/{name}.ids")
             own = part.column(0)
             nulls += own.null_count
             keys.append(own.drop_null().to_numpy(zero_copy_only=False))
@@ -220,24 +264,26 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
             out.write(end.join([*found, b""]))
         if out:
             out.close()
-            with store.open_output_stream(f"{temporary}.idx") as f:
-                f.write(index_bytes(np.concatenate(keys), nulls, np.concatenate(ends), encoder.width))
-            for kind in ("ids", "idx"):
-                publish(store, f"{temporary}.{kind}", f"{name}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "n_docs": pa.array([sum(map(len, ends))], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            own = np.concatenate(keys)
+            with store.open_output_stream(f"{base}/{name}.idx") as f:
+                f.write(index_bytes(own, nulls, np.concatenate(ends), encoder.width))
+            edges = (int(own[0]), int(own[-1])) if len(own) else (None, None)
+            row = (number, name, *edges, sum(map(len, ends)), total)
+            types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [x.split(" ")[0] for x in MANIFEST.split(", ")])
 
-    return materialize(ranged.mapInArrow(run, "shard int, n_docs long, n_tokens long"), "token-manifest")
+    return materialize(ranged.mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` per row from the files: each key is looked up in its shard's index and its ids are read."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("shard", before.alias("base")).repartition(spread(manifest.sparkSession), "shard")
+    placed = manifest.select("shard", "name", before.alias("base")).repartition(spread(manifest.sparkSession), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(folder, number)
+            for name, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shard = Shard(folder, name)
                 starts = np.concatenate([[0], shard.ends[:-1]])
                 own = np.full(len(shard.ends), -1, np.int64)
                 own[shard.rows(shard.keys)] = np.arange(len(shard.keys))

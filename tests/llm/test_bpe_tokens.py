@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomwork.llm import bpe, token_files
@@ -82,9 +83,30 @@ def test_token_shards(spark):
         fits = [x for x in (ids(t) for k, t in rows if k == i) if (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) == (n, crc)]
         assert fits and start == at
         at += n
-    shards = [token_files.Shard(folder, r.shard) for r in manifest.collect()]
-    held = [s.read(-5) for s in shards]
-    assert [x.tolist() for x in held if x is not None] == [ids("x " * 3000)]
-    assert all(s.read(12345) is None for s in shards)
+    tokens = token_files.Tokens(manifest, folder)
+    assert tokens.read(-5).tolist() == ids("x " * 3000) and len(tokens.open) == 1
+    assert tokens.read(4).tolist() == ids(" lead  and tail ") and tokens.read(12345) is None and tokens.read(-6) is None
+    assert tokens.read(7).tolist() in [ids(t) for k, t in rows if k == 7]
     empty = token_files.write_tokens(df.limit(0), BYTE, work_dir(spark, "tokens-none"))
     assert empty.count() == 0
+
+
+def test_two_attempts_do_not_mix(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(200)], "doc_id long, text string").repartition(3)
+    folder = work_dir(spark, "tokens-twice")
+    first, second = (token_files.write_tokens(d, BYTE, folder) for d in (df, df.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" more")))))
+    library = Tokenizer.from_file(BYTE)
+    for manifest, rows in ((first, df), (second, df.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" more"))))):
+        got = {r.doc_id: r.n_tokens for r in token_files.read_tokens(manifest, folder).collect()}
+        assert got == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows.collect()}
+
+
+def test_a_key_of_many_rows_is_parted(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as doc_id", "concat('text ', id) as text").repartition(5)
+    folder = work_dir(spark, "tokens-hot")
+    manifest = token_files.write_tokens(df, BYTE, folder)
+    assert manifest.agg(F.max("n_docs")).first()[0] < 1500
+    found = token_files.read_tokens(manifest, folder).orderBy("start").collect()
+    assert len(found) == 3000 and [r.doc_id is None for r in found] == sorted((r.doc_id is None for r in found), reverse=True)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+    assert token_files.Tokens(manifest, folder).read(5) is not None
