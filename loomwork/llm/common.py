@@ -87,8 +87,3 @@ def open_store(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
-
-
-def publish(store, temporary: str, final: str) -> None:
-    """Move a finished file to its place; a task that runs again after a loss replaces it by the same bytes."""
-    store.move(temporary, final)

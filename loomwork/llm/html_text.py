@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, spread
 
 #: A subtree belongs to a host's template if it is on at least so many of its different pages, and on at least this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.5
-#: Page rows of one host are dealt over so many keys when they meet the host's template.
-SALTS = 16
+#: Rows of a host meet its template under so many keys that no key has more than one in PARTS times the partitions of all rows.
+PARTS = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -47,8 +47,17 @@ MARKED = re.compile(
     r"masthead|topbar|footers?|colophon|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|widgets?|complementary|contentinfo|search|skip|login)(?:$|[\s_\-])",
     re.I,
 )
-TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/])|(/?[A-Za-z]))")
-MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: In an article only a whole name of one of these marks a part, and no id but the first few: sections have their subjects as ids, and names such as social-history.
+WITHIN = frozenset(
+    "ad ads advert advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe signup paywall popup modal overlay sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar "
+    "masthead topbar footer colophon comment comments commentlist disqus replies reply respond share sharing social related recommended widget notice complementary contentinfo".split()
+)
+IDS = frozenset("comments commentlist disqus respond sidebar newsletter paywall".split())
+#: An attribute by the HTML rules: a name, and a value that may stand in quotes; quotes elsewhere are letters like any other.
+#: A quote that is never closed is one too, so that it does not take the rest of the page.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^\s>"'][^\s>]*+))?+"""
+TAG = re.compile(rf"<(?:(!--)|(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE})*+)>|([!?/])|(/?[A-Za-z]))")
+MARKS = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 COMMENT_END = re.compile(r"--!?>")
 PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A7C9E1
 
@@ -66,17 +75,26 @@ class Node:
     sentence: bool = False
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, within: bool) -> bool:
+    """Whether an element is marked as no main text; ``within`` an article or main only plainly."""
     for name, a, b, c in MARKS.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            if MARKED.search(value):
+            if within:
+                if not (IDS if name == "id" else WITHIN).isdisjoint(value.lower().split()):
+                    return True
+            elif MARKED.search(value):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+#: End tags of these don't reach beyond an open one of PARTS_OF_PAGE.
+LOCAL = frozenset("p div section span li ul ol".split())
+PARTS_OF_PAGE = frozenset("article main body td th nav footer aside form".split())
+
+
 class Page:
     """One pass over a page: its blocks of text in order, and the hash of every subtree outside dropped parts.
 
@@ -92,8 +110,14 @@ class Page:
         self.buffer: list[str] = []
         self.running, self.power = 0, [1]
         self.events = 0
+        self.places: dict[str, list[int]] = {}  # of a tag's open elements in the stack
+        self.open_blocks: list[int] = []
         self._read()
 
+    def _last(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((own[-1] for tag in tags if (own := self.places.get(tag))), default=-1)
+
     def _event(self, what: str) -> None:
         self.running = (self.running * BASE + xxhash.xxh64_intdigest(what)) % PRIME
         self.events += 1
@@ -108,20 +132,14 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         for open_tag, starters in ENDS.items():
-            if tag in starters:
-                bound = BOUNDS[open_tag]
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i].tag == open_tag:
-                        self._close_to(i)
-                        break
-                    if self.stack[i].tag in bound:
-                        break
+            if tag in starters and (own := self.places.get(open_tag)) and own[-1] > self._last(BOUNDS[open_tag]):
+                self._close_to(own[-1])
         block = tag in BLOCK
         if block:
             self._flush()
         up = self.stack[-1] if self.stack else None
-        dropped = bool(up and up.dropped) or tag in DROPPED or tag not in ("body", "html", "article", "main") and bool(attributes) and _marked(attributes)
-        if tag == "article" and attributes and _marked(attributes):
+        dropped = bool(up and up.dropped) or tag in DROPPED or tag not in ("body", "html", "article", "main") and bool(attributes) and _marked(attributes, bool(up and up.main))
+        if tag == "article" and attributes and _marked(attributes, False):
             dropped = True  # a reader's comment is often an article of its own
         main = up.main if up else 0
         if tag == "header" and main == 0:
@@ -137,6 +155,9 @@ class Page:
         else:
             node = Node(tag, self.events, self.running, dropped, main)
         node.sentence = main > 0 and (tag in SENTENCES or tag in INLINE and up is not None and up.sentence)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(node)
 
     def _close_to(self, at: int) -> None:
@@ -155,6 +176,9 @@ class Page:
                         del self.blocks[blocks:]
                         del self.buffer[pieces:]
             self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.open_blocks.pop()
 
     def _text(self, low: int, high: int) -> None:
         if low < high and not (self.stack and self.stack[-1].dropped):
@@ -205,20 +229,24 @@ class Page:
         self._flush()
 
     def _end(self, tag: str) -> None:
-        block = tag in BLOCK
-        for i in range(len(self.stack) - 1, -1, -1):
-            here = self.stack[i].tag
-            if here == tag:
-                self._close_to(i)
-                return
-            if not block and here in BLOCK:
-                return  # an inline end tag closes nothing beyond its block
-            if block and here in ("article", "main", "body", "td", "th", "nav", "footer", "aside", "form") and tag in ("p", "div", "section", "span", "li", "ul", "ol"):
-                return  # nor does a stray end tag close a part of the page
+        own = self.places.get(tag)
+        if not own:
+            return
+        if tag not in BLOCK and self.open_blocks and self.open_blocks[-1] > own[-1]:
+            return  # an inline end tag closes nothing beyond its block
+        if tag in LOCAL and self._last(PARTS_OF_PAGE) > own[-1]:
+            return  # nor does a stray end tag close a part of the page
+        self._close_to(own[-1])
 
     def text(self) -> str:
-        """Blocks of the article, or of main where there is none, or else of all that isn't dropped; two line ends between."""
-        best = max((level for _, level in self.blocks), default=0)
+        """Blocks of the article, or of main where there is none, or else of all that isn't dropped; two line ends between.
+
+        Where main has more text of its own than in its articles, these are cards beside the text, and main's own counts.
+        """
+        size = [0, 0, 0]
+        for text, level in self.blocks:
+            size[level] += len(text)
+        best = 1 if size[1] > size[2] else 2 if size[2] else 0
         return "\n\n".join(t for t, level in self.blocks if level == best)
 
 
@@ -254,20 +282,36 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row of ``pages``.
 
-    The text is the article's (else main's, else the body's) without menus, headers, footers, sidebars, notices, adverts,
+    The text is the article's (else main's, else the body's; see ``Page.text`` for cards beside main's text) without menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles, comments and the host's template; references are decoded, white space inside a block is one
     blank, blocks are joined by two line ends. Null or empty html: empty text. Rows with a null id or url stay; repeated rows
     stay repeated. An unfinished tag at the end of a cut page is no text.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     own = own.withColumn("host", host_of())
-    found = templates(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    # hosts that need several keys: at most PARTS times the number of partitions
+    counted = materialize(own.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    most = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // (PARTS * spread(own.sparkSession))))
+    large = F.broadcast(counted.where(f"n > {most}").selectExpr("host", f"cast(ceil(n / {most}) as int) as salts"))
+    pages_ = own.join(large, "host", "left").selectExpr("host", "cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int) as salt", "1 as kind", "page_id", "url", "html", "cast(null as array<long>) as template")
+    nothing = ("cast(null as long) as page_id", "cast(null as string) as url", "cast(null as string) as html")
+    heads = templates(own).join(large, "host", "left").selectExpr("host", "explode(sequence(0, coalesce(salts, 1) - 1)) as salt", "0 as kind", *nothing, "template")
+    # a host's template comes once before its pages, not with each of them
+    met = pages_.unionByName(heads).repartition(spread(own.sparkSession), "host", "salt").sortWithinPartitions("host", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, template = None, frozenset()
         for part in slices(batches):
-            texts = [Page(s or "", frozenset(t or ())).text() for s, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            page_ids, urls, texts = [], [], []
+            for own_host, kind, page_id, url, source, hashes in zip(*(part.column(c).to_pylist() for c in ("host", "kind", "page_id", "url", "html", "template")), strict=True):
+                if own_host != host:
+                    host, template = own_host, frozenset()
+                if kind == 0:
+                    template = frozenset(hashes)
+                    continue
+                page_ids.append(page_id)
+                urls.append(url)
+                texts.append(Page(source or "", template).text())
+            yield pa.RecordBatch.from_arrays([pa.array(page_ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")

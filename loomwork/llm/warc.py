@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, open_store, publish, slices, spread, work_dir
+from .common import materialize, open_store, slices, spread, work_dir
 
 #: Payloads below this size are never replaced by a revisit.
 LEAST_REVISIT = 1000
@@ -83,7 +83,8 @@ def parse(raw: bytes | memoryview) -> tuple[dict[str, str], bytes]:
 def write(found: DataFrame, folder: str) -> DataFrame:
     """Write ``records`` to archives in ``folder``, one per partition; returns the index, a row per record, itself written to the shared folder.
 
-    A task writes under a name of its attempt's own and moves the file at the end, so it can run again.
+    An archive's name is its attempt's own and stands in the index, so a task can run again and no index row points into
+    the archive of another attempt, whose records may lie in another order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +93,10 @@ def write(found: DataFrame, folder: str) -> DataFrame:
         context = TaskContext.get()
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        archive, temporary = f"part-{context.partitionId():06d}.warc.gz", f"{base}/.{context.partitionId():06d}-{context.taskAttemptId()}"
+        archive = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         out, place = None, 0
         for part in slices(batches):
-            out = out or store.open_output_stream(temporary)
+            out = out or store.open_output_stream(f"{base}/{archive}", compression=None)  # by its name the library would compress it
             rows = part.to_pydict()
             at, length, sizes = [], [], []
             for page_id, url, text, digest, kind, refers_to in zip(*(rows[c] for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")), strict=True):
@@ -112,7 +113,6 @@ def write(found: DataFrame, folder: str) -> DataFrame:
             )
         if out:
             out.close()
-            publish(store, temporary, f"{base}/{archive}")
 
     return materialize(found.mapInArrow(run, INDEX), "warc-index")
 

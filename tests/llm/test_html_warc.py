@@ -1,6 +1,8 @@
 import hashlib
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import html_text, warc
 from loomwork.llm.common import work_dir
@@ -22,14 +24,40 @@ from loomwork.llm.common import work_dir
         ("<article><p>main</p><article class='comment'><p>reader</p></article></article>", "main"),
         ("<p hidden>no</p><p>yes</p>", "yes"),
         ("<p class=\"add\">address</p>", "address"),
+        ("<article><p>one</p><p class=x\">two</p><p>three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<article><p>one</p><p it's>two</p><p>three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<article><p>one</p><p class=\"x>two</p><p>three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<article><p title='a > b' data-x = \"</p>\">one</p><a href=/x/>two</a></article>", "one\n\ntwo"),
+        ("<main><p>body text that is long</p><article class=\"card\">teaser</article></main>", "body text that is long"),
+        ("<main><p>lead</p><article><p>the article itself</p></article></main>", "the article itself"),
+        ("<article><section id=\"search\"><p>on searching</p></section><p class=\"social-history\">on history</p></article>", "on searching\n\non history"),
     ],
 )
 def test_pages(source, text):
     assert html_text.Page(source).text() == text
 
 
-def test_deep_nesting_ends():
-    assert html_text.Page("<div>" * 20_000 + "x").text() == "x"
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "x", "<p><button></button>" + "<div>" * 200_000 + "x", "<b>" * 100_000 + "x" + "</i></b>" * 100_000, "<li>" * 100_000 + "x", "<p " + "a='" * 100_000 + ">x", '<p a="' * 20_000 + ">x"])
+def test_long_pages_take_linear_time(source):
+    began = time.perf_counter()
+    html_text.Page(source).text()
+    assert time.perf_counter() - began < 20
+
+
+def test_templates_decide_where_no_tag_does(spark):
+    body = lambda i: f"<body><div><span>Home</span> <span>Shop</span></div><div><p>Own text {i} of this page.</p></div><div><p>All rights reserved</p></div></body>"
+    rows = [(i, f"https://plain.example/{i}", body(i)) for i in range(9)] + [(100, "https://single.example/", body(100))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i} of this page." for i in range(9)} | {100: "Home Shop\n\nOwn text 100 of this page.\n\nAll rights reserved"}
+
+
+def test_a_large_host_is_parted(spark):
+    rows = [(i, f"https://large.example/{i}", f"<body><div>menu</div><div><p>text {i}</p></div></body>") for i in range(400)] + [(1000 + i, f"https://h{i}.example/", "<p>x</p>") for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("other"), "template": F.lit(1), "kind": F.lit(0), "salt": F.lit(3)})
+    found = html_text.main_text(df)
+    got = {r.page_id: r.text for r in found.collect()}
+    assert len(got) == 450 and all(got[i] == f"text {i}" for i in range(400))
+    assert html_text.main_text(df.limit(0)).count() == 0
 
 
 def test_templates_go_and_articles_stay(spark):
