@@ -77,6 +77,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def sized_slices(batches: Iterable[pa.RecordBatch], rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same, and pieces of more than ``most`` bytes are halved down to single rows."""
+    for part in slices(batches, rows):
+        todo = [part]
+        while todo:
+            own = todo.pop()
+            if own.num_rows > 1 and own.nbytes > most:
+                half = own.num_rows // 2
+                todo += [own.slice(half), own.slice(0, half)]
+            else:
+                yield own
+
+
 def spread(spark: SparkSession) -> int:
     """Number of partitions for a shuffle: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

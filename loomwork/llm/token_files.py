@@ -15,27 +15,31 @@ from __future__ import annotations
 import bisect
 import io
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, open_store, slices, spread, work_dir
+from .common import id_and_text, materialize, open_store, sized_slices, spread, work_dir
 
-REMEMBERED, LONGEST = 2_000_000, 48
+#: Remembered pieces per worker, and the longest that is remembered; both bound memory only.
+REMEMBERED, LONGEST = 900_000, 48
 #: Bytes of payload that a reader holds at once, unless one document is longer.
 READ_BYTES = 16 << 20
+#: Bytes of text that are encoded together, unless one text is longer.
+SLICE_BYTES = 16 << 20
 
 
 class ByteEncoder:
     """Ids of whole texts by the ``tokenizers`` library and a byte-level file.
 
-    The file's pattern always ends a piece before a blank that stands between two characters that aren't white space, so
-    texts are parted there and each distinct piece goes to the library once per worker.
+    The file's pattern always ends a piece before a blank that stands between two characters that aren't white space. So
+    texts are parted at blanks, each distinct piece goes to the library once, and the ids of all texts are gathered from
+    those of their pieces. Texts with other white space around a blank go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,62 +53,68 @@ class ByteEncoder:
         self.leads = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.leads[[i for token, i in self.library.get_vocab().items() if token[0] == "\u0120"]] = True  # the byte-level form of a blank
         self.known: dict[str, bytes] = {}  # by piece without the blank before it
-        self.between = re.compile(r"(?<=\S) (?=\S)")
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(found.ids, f"<u{self.width}").tobytes() for at in range(0, len(pieces), 4096) for found in self.library.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, f"<u{self.width}").tobytes() for at in range(0, len(texts), 4096) for found in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
     def _words(self, pieces: list[str]) -> list[bytes]:
         """Ids of clean pieces, each with the blank before it: encoded as one text, whose only tokens with a blank at their start begin the pieces."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
+        for at in range(0, len(pieces), 1024):
+            some = pieces[at : at + 1024]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             edges = (np.append(np.flatnonzero(self.leads[ids]), len(ids)) * self.width).tolist()
             raw = ids.tobytes()
-            out += map(raw.__getitem__, map(slice, edges, edges[1:])) if len(edges) == len(some) + 1 else self._pieces([" " + p for p in some])
+            out += map(raw.__getitem__, map(slice, edges, edges[1:])) if len(edges) == len(some) + 1 else self._library([" " + p for p in some])
         return out
 
-    @staticmethod
-    def _clean(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A text's first piece has no blank before it and goes to the library as it is; all others have one.
-
-        Texts are parted at every blank first. Pieces with white space at an end are never remembered, so a text that has
-        one is found among those with unknown pieces and is parted again, at blanks between other characters only.
-        """
+    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces with the blank before them; None where white space stands at an end."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get = self.known.get
-        parted = [(t or "").split(" ") for t in texts]
-        firsts, rest, holes, new = [], [], [], {}
-        other: dict[str, bytes] = {}
-        for i, parts in enumerate(parted):
-            first = parts[0]
-            del parts[0]
-            found = list(map(get, parts))
-            open_ = [j for j, x in enumerate(found) if x is None] if None in found else []
-            if first and parts and first[-1].isspace() or not all(self._clean(parts[j]) for j in open_):
-                first, *parts = self.between.split(texts[i])
-                parted[i], found = parts, list(map(get, parts))
-                open_ = [j for j, x in enumerate(found) if x is None]
-                other.update((parts[j], b"") for j in open_ if not self._clean(parts[j]))
-            new.update((parts[j], b"") for j in open_)
-            firsts.append(first)
-            rest.append(found)
-            holes.append(open_)
-        other = dict(zip(other, self._pieces([" " + p for p in other]), strict=True))
-        clean = [p for p in new if p not in other] if other else list(new)
-        new = dict(zip(clean, self._words(clean), strict=True))
-        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST)
-        new |= other
-        out = []
-        for first, parts, found, open_ in zip(self._pieces(firsts), parted, rest, holes, strict=True):
-            for j in open_:
-                found[j] = new[parts[j]]
-            out.append(first + b"".join(found))
+            self.known = {}
+        known = self.known
+        found = list(map(known.get, pieces))
+        new, at = [], []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            p = pieces[i]
+            if p and not p[0].isspace() and not p[-1].isspace():
+                new.append(p)
+                at.append(i)
+        for i, p, x in zip(at, new, self._words(new), strict=True):
+            found[i] = x
+            if len(p) <= LONGEST:
+                known[p] = x
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = pc.split_pattern(texts, " ")
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)  # one at least
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = np.cumsum(n) - n
+        later = np.ones(len(at), bool)
+        later[first] = False  # a text's first piece has no blank before it and goes to the library as it is
+        needed = np.zeros(len(words), bool)
+        needed[at[later]] = True
+        if needed.all():
+            ids = self._pieces(words)
+        else:
+            ids = [b""] * len(words)
+            for i, x in zip(np.flatnonzero(needed).tolist(), self._pieces([w for w, x in zip(words, needed.tolist(), strict=True) if x]), strict=True):
+                ids[i] = x
+        heads = [words[i] for i in at[first].tolist()]
+        whole = np.fromiter((bool(h) and h[-1].isspace() for h in heads), bool, len(heads)) & (n > 1)
+        if None in ids:
+            unclean = np.fromiter((x is None for x in ids), bool, len(ids))
+            whole[np.repeat(np.arange(len(texts)), n)[later & unclean[at]]] = True
+        own = whole.tolist()
+        out = self._library([texts[i].as_py() if w else h for i, (h, w) in enumerate(zip(heads, own, strict=True))])
+        places = at.tolist()
+        for i, (a, k) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
+            if k > 1 and not own[i]:
+                out[i] += b"".join([ids[x] for x in places[a + 1 : a + k]])
         return out
 
 
@@ -252,12 +262,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
         name = f"shard-{number:06d}-{context.taskAttemptId()}"
         keys, ends, total, nulls, out = [], [], 0, 0, None
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
-        for part in slices(batches):
+        for part in sized_slices(batches, 4096, SLICE_BYTES):
             out = out or store.open_output_stream(f"{base}/{name}.ids")
             own = part.column(0)
             nulls += own.null_count
             keys.append(own.drop_null().to_numpy(zero_copy_only=False))
-            found = encoder.encode(part.column(1).to_pylist())
+            found = encoder.encode(part.column(1))
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // encoder.width + 1
             ends.append(total + np.cumsum(sizes))
             total = int(ends[-1][-1])
