@@ -146,6 +146,39 @@ def pack_resource_key(kind: int, namespace: bytes, name: bytes, page: int | None
     return bytes([kind]) + namespace + struct.pack(">I", len(name)) + name + tail
 
 
+#: The schema of resource manifests.
+MANIFEST_SCHEMA, MANIFEST_VERSION = 0x7370696E646C726D, 1
+VERSION_STATES = ("tombstone", "present")
+
+
+def pack_manifest(key: bytes, generation: int, state: str, content_hash: int | None, producer: bytes, location: bytes) -> bytes:
+    """A resource's manifest in its envelope: packed key, generation, state, content hash if there is one, producer's id, where the artifact lies."""
+    if len(location) > 0xFFFFFFFF:
+        raise FormatError("ArtifactLocationTooLong")
+    told = b"\0" if content_hash is None else b"\1" + struct.pack(">Q", content_hash)
+    body = key + struct.pack(">QB", generation, VERSION_STATES.index(state)) + told + producer + struct.pack(">I", len(location)) + location
+    return seal(MANIFEST_SCHEMA, MANIFEST_VERSION, body)
+
+
+def unpack_manifest(raw: bytes, most: int, registered: set[tuple[int, int]]) -> dict[str, object]:
+    """The parts of an unharmed manifest whose schema is registered."""
+    schema_id, version, body = unseal(raw, most)
+    if schema_id != MANIFEST_SCHEMA:
+        raise FormatError("UnknownSchema")
+    if version != MANIFEST_VERSION:
+        raise FormatError("UnknownVersion")
+    if (schema_id, version) not in registered:
+        raise FormatError("UnknownSchema")
+    at = 17 + 4 + struct.unpack_from(">I", body, 17)[0]
+    at += 9 if body[at] else 1
+    key, (generation, state, hashed) = body[:at], struct.unpack_from(">QBB", body, at)
+    at += 10
+    content = struct.unpack_from(">Q", body, at)[0] if hashed else None
+    at += 8 if hashed else 0
+    producer, (size,) = body[at : at + 16], struct.unpack_from(">I", body, at + 16)
+    return {"key": key, "generation": generation, "state": VERSION_STATES[state], "content_hash": content, "producer": producer, "location": body[at + 20 : at + 20 + size]}
+
+
 def derived_id(workflow_id: bytes, decision: int, sequence: int, kind: int) -> bytes:
     """Id of a task that a command makes. A hash of all parts: mixing them bit by bit would let different commands meet."""
     return uuid.uuid5(uuid.UUID(bytes=workflow_id), f"{decision}/{sequence}/{kind}").bytes

@@ -74,3 +74,32 @@ def fingerprint(kind: Column, version: Column, params: Column, inputs: list[tupl
     for name, value in environment:
         parts += [framed(F.lit(name)), framed(value)]
     return F.sha2(F.concat(*parts), 256)
+
+
+@F.pandas_udf(LongType())
+def _replay_checksum(logs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    mask = (1 << 64) - 1
+    for part in logs:
+        out = []
+        for log in part:
+            h = FNV_OFFSET
+            for number in log if log is not None else ():
+                h = (h ^ (int(number) & mask)) * FNV_PRIME & mask
+            out.append(h - (1 << 64) if h >> 63 else h)
+        yield pd.Series(out, dtype="int64")
+
+
+def replay_checksum(kinds: Column, tasks: Column) -> Column:
+    """The checksum of an ordered log of events, given as arrays of kinds and task ids: both numbers of each event are mixed in whole."""
+    pairs = F.flatten(F.transform(F.arrays_zip(kinds.alias("k"), tasks.alias("t")), lambda e: F.array(e["k"].cast("long"), e["t"].cast("long"))))
+    return _replay_checksum(pairs)
+
+
+def generational(index: Column, generation: Column) -> Column:
+    """An id's text; the greatest index stands for no id."""
+    return F.when(index == 0xFFFFFFFF, "invalid").otherwise(F.concat_ws(":", index.cast("string"), generation.cast("string")))
+
+
+def generational_order(index: Column, generation: Column) -> Column:
+    """What ids are ordered by: the slot, then how often it was used."""
+    return F.struct(index.alias("index"), generation.alias("generation"))

@@ -86,6 +86,25 @@ def scan_global(df: DataFrame, order: str, value: str, name: str, exclusive: boo
     return joined.drop("_part", "_before")
 
 
+def number_global(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 on in an order over the whole table, without a single-task window: places within ranges and the number of rows before each range. The order must be unique."""
+    spark = df.sparkSession
+    shared_root(spark)
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")
+
+
+def percentile_pick(df: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
+    """``(*keys, value)``: of each key's values in order the one at n * percent / 100, counted from 0, rounded down, the last at most."""
+    w = Window.partitionBy(*keys)
+    ranked = df.select(*keys, value).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_r") == F.least(F.col("_n") - 1, F.expr(f"(_n * {percent}) div 100"))).select(*keys, value)
+
+
 def sort_stable(df: DataFrame, keys: list[Column], original: str) -> DataFrame:
     """Sorted by ``keys``; equal rows stay in the order of the unique column ``original``."""
     return df.orderBy(*keys, original)

@@ -12,6 +12,32 @@ class CycleError(ValueError):
     """Nodes of a cycle, or behind one, are left."""
 
 
+class DepthError(ValueError):
+    """A graph is deeper than the caller allows."""
+
+
+def graph_errors(nodes: DataFrame, edges: DataFrame, targets: list[str]) -> DataFrame:
+    """``(node, error)`` of a graph that can't be compiled: a node (node, target) whose executor isn't registered, an edge's end that is no node."""
+    unbound = nodes.where(~F.coalesce(F.col("target").isin(*targets), F.lit(False))).select("node", F.lit("UnboundTarget").alias("error"))
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    return unbound.unionByName(ends.join(nodes.select("node"), "node", "left_anti").select("node", F.lit("InvalidNodeId").alias("error")))
+
+
+def trace(levelled: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
+    """``(node, kind, step)``: what a run tells of its nodes, in steps of the graph's levels.
+
+    A node that runs is ready, enqueued, started and finished; a cancelled one just that. Each edge whose source
+    completes releases its target once.
+    """
+    met = levelled.join(states, "node")
+    ran = F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("level") * 5 + i).alias("step")) for i, k in enumerate(("ready", "enqueued", "started"))))
+    end = F.array(F.struct(F.when(F.col("state") == "completed", "finished").otherwise("cancelled").alias("kind"), (F.col("level") * 5 + 3).alias("step")))
+    own = met.select("node", F.inline(F.when(F.col("state") == "cancelled", end).otherwise(F.concat(ran, end))))
+    done = met.where("state = 'completed'").select(F.col("node").alias("src"), (F.col("level") * 5 + 4).alias("step"))
+    freed = distinct_edges(edges.select("src", "dst")).join(done, "src").select(F.col("dst").alias("node"), F.lit("dependency_released").alias("kind"), "step")
+    return own.unionByName(freed)
+
+
 def distinct_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     """One edge per pair of ends: of several the first by ``order``."""
     if order is None:
@@ -43,7 +69,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
         open_ = keep(open_.join(ready, open_.src == ready.node, "left_anti"))
         level += 1
     if left.take(1):
-        raise CycleError("CycleDetected")
+        raise CycleError("CycleDetected") if level < most else DepthError(f"deeper than {most} levels")
     return done if done is not None else nodes.select("node").withColumn("level", F.lit(0)).limit(0)
 
 
@@ -56,7 +82,7 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFr
         if not front.take(1):
             return seen
         seen = seen.unionByName(front).checkpoint()
-    raise CycleError("too deep")
+    raise DepthError(f"deeper than {most} levels")
 
 
 def outcomes(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64
 from ..functions.scalars import is_newer
+from .algorithms import number_global
 
 
 class Components:
@@ -96,6 +98,110 @@ def signature(components: list[str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in components))))
 
 
+def add_components(world: DataFrame, added: DataFrame, name: str, tick: int) -> DataFrame:
+    """The world after components were added to entities (entity_index, value): one that is there already is set."""
+    new = added.select("entity_index", F.col("value").alias("_new"), F.lit(True).alias("_hit"))
+    met = world.join(new, "entity_index", "left")
+    return met.withColumns({name: F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(name)), f"{name}_ver": F.when(F.col("_hit"), F.lit(tick)).otherwise(F.col(f"{name}_ver"))}).select(*world.columns)
+
+
+def remove_components(world: DataFrame, removed: DataFrame, name: str, tick: int) -> DataFrame:
+    """The world without a component of some entities (entity_index): removing what is missing does nothing."""
+    met = world.join(removed.select("entity_index", F.lit(True).alias("_hit")).distinct(), "entity_index", "left")
+    had = F.col("_hit") & F.col(name).isNotNull()
+    return met.withColumns({name: F.when(F.coalesce(had, F.lit(False)), None).otherwise(F.col(name)), f"{name}_ver": F.when(F.coalesce(had, F.lit(False)), F.lit(tick)).otherwise(F.col(f"{name}_ver"))}).select(*world.columns)
+
+
+class CommandBuffer:
+    """Commands recorded on the driver, in order, for one batch; targets that don't exist yet are temporary ids below 0."""
+
+    SCHEMA = "sequence long, kind string, target long, generation long, component string, value string"
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.made = 0
+
+    def _record(self, kind: str, target: int, generation: int | None, component: str | None = None, value: str | None = None) -> None:
+        self.rows.append((len(self.rows) + 1, kind, target, generation, component, value))
+
+    def create(self) -> int:
+        self.made += 1
+        self._record("create", -self.made, None)
+        return -self.made
+
+    def destroy(self, target: int, generation: int | None = None) -> None:
+        self._record("destroy", target, generation)
+
+    def add(self, target: int, component: str, value: str, generation: int | None = None) -> None:
+        self._record("add", target, generation, component, value)
+
+    def remove(self, target: int, component: str, generation: int | None = None) -> None:
+        self._record("remove", target, generation, component)
+
+    def set(self, target: int, component: str, value: str, generation: int | None = None) -> None:
+        self._record("set", target, generation, component, value)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The batch as a table, and an empty buffer."""
+        rows, self.rows, self.made = self.rows, [], 0
+        return spark.createDataFrame(rows, self.SCHEMA)
+
+
+class ImmediateEvent:
+    """Subscribers that are called at once, in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.subscribers: list[Callable[[object], None]] = []
+
+    def subscribe(self, call: Callable[[object], None]) -> None:
+        self.subscribers.append(call)
+
+    def emit(self, value: object) -> None:
+        for call in self.subscribers:
+            call(value)
+
+
+def canonical(world: DataFrame, components: list[str], per_chunk: int = 1024) -> DataFrame:
+    """A snapshot's rows in canonical order: by signature (component ids, ascending, compared one by one, a shorter list first), chunk and row.
+
+    ``place`` is a row's number over the whole snapshot, ``archetype`` that of its signature, ``chunk`` and ``row`` the place in it.
+    """
+    ids = {c: fnv1a64(c.encode()) for c in components}
+    named = sorted(components, key=ids.__getitem__)
+    # fixed width, so that the order of the digits is that of the ids
+    key = F.concat(*(F.when(F.col(c).isNotNull(), F.lit(f"{ids[c]:016x}")).otherwise("") for c in named))
+    rows = number_global(world.withColumn("signature", key), [F.asc("signature"), F.asc("entity_index"), F.asc("entity_generation")], "place")
+    sizes = rows.groupBy("signature").agg(F.min("place").alias("_first"))
+    # a row per signature: at most one for each set of components
+    first = sizes.withColumn("archetype", (F.row_number().over(Window.orderBy("signature")) - 1).cast("long"))
+    placed = rows.join(F.broadcast(first) if len(components) <= 10 else first, "signature").withColumn("_n", F.col("place") - F.col("_first"))
+    return placed.withColumns({"chunk": F.expr(f"_n div {per_chunk}"), "row": F.expr(f"_n % {per_chunk}")}).drop("_n", "_first")
+
+
+def restore_errors(stored: dict[str, tuple[str, int]], registered: dict[str, tuple[str, int]], migrations: set[tuple[str, int]]) -> list[tuple[str, str]]:
+    """Why a snapshot with components ``name -> (type, version)`` can't be read into a registry of the same form: ``(name, error)``.
+
+    Both must have the same components and types; an older version needs a migration (name, from) of just one step.
+    """
+    found = [(n, "UnknownComponent") for n in sorted(stored.keys() - registered.keys())] + [(n, "SchemaMismatch") for n in sorted(registered.keys() - stored.keys())]
+    for name in sorted(stored.keys() & registered.keys()):
+        (kind, version), (now, wanted) = stored[name], registered[name]
+        if kind != now:
+            found.append((name, "SchemaMismatch"))
+        elif version != wanted:
+            found.append((name, "MissingMigration") if (name, version) not in migrations else (name, "MigrationGap") if version + 1 != wanted else ())
+    return [f for f in found if f]
+
+
+def restore(snapshot: DataFrame, stored: dict[str, tuple[str, int]], registered: dict[str, tuple[str, int]], steps: dict[tuple[str, int], Callable[[Column], Column]]) -> DataFrame:
+    """A world from a snapshot: checked whole before anything is read, older components brought up by one step."""
+    wrong = restore_errors(stored, registered, set(steps))
+    if wrong:
+        raise ValueError(f"{wrong[0][1]}: {wrong[0][0]}")
+    changed = {name: steps[name, version](F.col(name)) for name, (_, version) in stored.items() if version != registered[name][1]}
+    return snapshot.withColumns(changed) if changed else snapshot
+
+
 def normalize(commands: DataFrame, target: str = "target", sequence: str = "sequence", kind: str = "kind") -> DataFrame:
     """A batch without what a destroy makes void: of a destroyed target only its first destroy stays."""
     w = Window.partitionBy(target)
@@ -142,12 +248,15 @@ def apply_commands(world: DataFrame, commands: DataFrame, component: str, tick:
 def assign_entities(requests: DataFrame, free: DataFrame, next_index: int, order: str = "sequence") -> DataFrame:
     """Indices and generations for the creations of one batch: free ones latest first, then new ones.
 
-    ``free``: entity_index, generation, freed_at. A batch is one world's frame; its creations are numbered by one window.
+    ``free``: entity_index, generation, freed_at. A batch is one world's frame; its creations are numbered range by range.
     """
-    want = requests.withColumn("n", F.row_number().over(Window.orderBy(order)))
-    have = free.withColumn("n", F.row_number().over(Window.orderBy(F.desc("freed_at")))).select("n", F.col("entity_index").alias("_i"), (F.pmod(F.col("generation") + 1, F.lit(1 << 32))).alias("_g"))
-    short = want.join(have, "n", "left").withColumn("fresh", F.sum(F.col("_i").isNull().cast("int")).over(Window.orderBy("n")))
-    return short.select(*requests.columns, F.coalesce("_i", F.lit(next_index - 1) + F.col("fresh")).alias("entity_index"), F.when(F.col("_i").isNull(), 1).otherwise(F.greatest("_g", F.lit(1))).alias("entity_generation"))
+    want = number_global(requests, [F.asc(order)], "n")
+    have = number_global(free, [F.desc("freed_at"), F.asc("entity_index")], "n").select("n", F.col("entity_index").alias("_i"), (F.pmod(F.col("generation") + 1, F.lit(1 << 32))).alias("_g"))
+    # the first creations take what is free, so a fresh one's place among the fresh is its own less the number of free ones
+    held = free.count()
+    return want.join(have, "n", "left").select(
+        *requests.columns, F.coalesce("_i", F.lit(next_index - 1 - held) + F.col("n")).alias("entity_index"), F.when(F.col("_i").isNull(), 1).otherwise(F.greatest("_g", F.lit(1))).alias("entity_generation")
+    )
 
 
 def frame_events(*sources: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce as fold
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .algorithms import number_global
+
 KINDS = ("file", "page", "memory_buffer", "database_segment", "gpu_buffer", "texture", "network_blob", "custom")
 DIMENSIONS = ("memory", "disk", "network", "device")
 
@@ -29,11 +33,10 @@ def overlap(a: str = "a", b: str = "b") -> Column:
     return (low(a) < high(b)) & (low(b) < high(a))
 
 
-def hazards(accesses: DataFrame, resource: list[str], order: str = "seq", node: str = "node", mode: str = "mode") -> DataFrame:
-    """``(*resource, src, dst, hazard)`` of whole-resource accesses: raw from the last writer to each reader, waw to the next writer, war from the readers since.
+def _edges(accesses: DataFrame, resource: list[str], order: str, node: str, mode: str) -> DataFrame:
+    """Every hazard between accesses of one resource, ``_r`` their order: raw from the last writer to each reader, waw to the next writer, war from the readers since.
 
-    Everything follows from each access's last write before it, so one window and one join on resource and epoch do. Edges
-    of a node to itself are left out; of several hazards between two nodes on a resource the first stays.
+    Everything follows from each access's last write before it, so one window and one join on resource and epoch do.
     """
     write = F.col(mode) != "read"
     w = Window.partitionBy(*resource).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,19 +47,28 @@ def hazards(accesses: DataFrame, resource: list[str], order: str = "seq", node:
     readers, writers = seen.where("not _w").select(*resource, "_epoch", F.col("_n").alias("src")), seen.where("_w").select(*resource, "_epoch", F.col("_n").alias("dst"), "_o")
     anti = readers.join(writers, [*resource, "_epoch"]).select(*resource, "src", "dst", F.lit("war").alias("hazard"), "_o")
     rank = F.when(F.col("hazard") == "raw", 0).when(F.col("hazard") == "waw", 1).otherwise(2)
-    edges = direct.unionByName(anti).where("src <> dst").withColumn("_r", F.struct("_o", rank))
-    return edges.groupBy(*resource, "src", "dst").agg(F.min_by("hazard", "_r").alias("hazard"))
+    return direct.unionByName(anti).withColumn("_r", F.struct("_o", rank)).drop("_o")
 
 
-def range_hazards(accesses: DataFrame, resource: list[str], bucket: int, order: str = "seq") -> DataFrame:
-    """Hazards of accesses to ranges: every pair of accesses of different nodes that overlap and of which one writes, unless a write of the same stretch stands between.
+def hazards(accesses: DataFrame, resource: list[str], order: str = "seq", node: str = "node", mode: str = "mode") -> DataFrame:
+    """``(*resource, src, dst, hazard)`` of whole-resource accesses.
 
-    ``accesses``: resource columns, node, mode, lo, hi (both null: the whole). Ranges are cut at all borders of their
-    resource first, so that each stretch is a resource of its own; whole-resource accesses take part in each.
+    Edges of a node to itself are left out; of several hazards between two nodes on a resource the first stays.
     """
-    lo, hi = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit((1 << 62)))
-    own = accesses.withColumns({"_lo": lo, "_hi": hi})
-    return hazards(pieces(own, resource, "_lo", "_hi", bucket).withColumnRenamed("_at", "_stretch"), [*resource, "_stretch"], order).select(*resource, "src", "dst", "hazard").distinct()
+    edges = _edges(accesses, resource, order, node, mode).where("src <> dst")
+    return edges.groupBy(*resource, "src", "dst").agg(F.min_by("hazard", "_r").alias("hazard"))
+
+
+def _bucket(column: str, bucket: int, back: int = 0) -> Column:
+    """The bucket of a long less ``back``: whole numbers throughout, as doubles end at 2**53."""
+    x = f"(cast({column} as long) - {back}L)"
+    return F.expr(f"({x} - pmod({x}, {bucket}L)) div {bucket}L")
+
+
+def _stretches(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """``(*keys, _at, _to)``: the elementary stretches between the borders of a key's ranges."""
+    ends = df.select(*keys, F.col(low).alias("_at")).unionByName(df.select(*keys, F.col(high).alias("_at"))).distinct()
+    return ends.withColumn("_to", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at"))).where("_to is not null")
 
 
 def pieces(df: DataFrame, keys: list[str], low: str, high: str, bucket: int) -> DataFrame:
@@ -64,18 +76,62 @@ def pieces(df: DataFrame, keys: list[str], low: str, high: str, bucket: int) ->
 
     Borders meet ranges by bucket, so no key is compared all with all.
     """
-    ends = df.select(*keys, F.col(low).alias("_at")).unionByName(df.select(*keys, F.col(high).alias("_at"))).distinct()
-    ends = ends.withColumn("_to", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at"))).where("_to is not null")
-    cuts = ends.withColumn("_bucket", F.floor(F.col("_at") / bucket))
-    wide = df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor((F.col(high) - 1) / bucket))))
+    cuts = _stretches(df, keys, low, high).withColumn("_bucket", _bucket("_at", bucket))
+    wide = df.withColumn("_bucket", F.explode(F.sequence(_bucket(low, bucket), _bucket(high, bucket, 1))))
     return wide.join(cuts, [*keys, "_bucket"]).where((F.col("_at") >= F.col(low)) & (F.col("_at") < F.col(high))).drop("_bucket")
 
 
+def range_hazards(accesses: DataFrame, resource: list[str], bucket: int, order: str = "seq") -> DataFrame:
+    """``(*resource, src, dst, hazard)`` of accesses to ranges: every pair of accesses of different nodes that overlap and of which one writes, unless a write of the same stretch stands between.
+
+    ``accesses``: resource columns, node, mode, lo, hi (both null: the whole). Ranges are cut at all borders of their
+    resource first, so that each stretch is a resource of its own; whole accesses take part in each, and in one more
+    stretch for whatever no range names. Of several hazards between two nodes on a resource the first stays.
+    """
+    ranged = accesses.where("lo is not null").select(*resource, order, "node", "mode", "lo", "hi")
+    whole = accesses.where("lo is null").select(*resource, order, "node", "mode")
+    part = [*resource, order, "node", "mode"]
+    cut = pieces(ranged, resource, "lo", "hi", bucket).select(*part, F.col("_at").alias("_stretch"))
+    over = whole.join(_stretches(ranged, resource, "lo", "hi").select(*resource, F.col("_at").alias("_stretch")), resource).select(*part, "_stretch")
+    rest = whole.select(*part, F.lit(None).cast("long").alias("_stretch"))
+    own = cut.unionByName(over).unionByName(rest).withColumns({"_rest": F.col("_stretch").isNull(), "_stretch": F.coalesce("_stretch", F.lit(0))})
+    edges = _edges(own, [*resource, "_rest", "_stretch"], order, "node", "mode").where("src <> dst")
+    return edges.groupBy(*resource, "src", "dst").agg(F.min_by("hazard", "_r").alias("hazard"))
+
+
+def access_plan(accesses: DataFrame, bucket: int) -> DataFrame:
+    """``(src, dst, name, hazard)``: the plan of files, pages and ranges; of a pair of nodes the first hazard on any resource stays.
+
+    ``accesses``: name, seq, node, mode, page (null: the whole file), lo, hi (null: the whole page or file). An access to a file is
+    a barrier for all its pages; pages meet if they are the same and their ranges overlap. ``src = dst`` is a cycle of one node,
+    for ``plan_errors`` to tell.
+    """
+    part = ["name", "seq", "node", "mode"]
+    files = accesses.where("page is null").select(*part)
+    pages = accesses.where("page is not null and lo is null").select(*part, "page")
+    ranged = accesses.where("page is not null and lo is not null").select(*part, "page", "lo", "hi")
+    # what a page consists of: its stretches, and one for whatever no range names
+    of_page = _stretches(ranged, ["name", "page"], "lo", "hi").select("name", "page", F.col("_at").alias("at"))
+    of_page = of_page.unionByName(accesses.where("page is not null").select("name", "page").distinct().withColumn("at", F.lit(None).cast("long")))
+    cut = pieces(ranged, ["name", "page"], "lo", "hi", bucket).select(*part, "page", F.col("_at").alias("at"))
+    own = cut.unionByName(pages.join(of_page, ["name", "page"]).select(*part, "page", "at")).unionByName(files.join(of_page, "name").select(*part, "page", "at"))
+    own = own.unionByName(files.select(*part, F.lit(None).cast("long").alias("page"), F.lit(None).cast("long").alias("at")))
+    own = own.withColumns({"_file": F.col("page").isNull(), "_rest": F.col("at").isNull(), "page": F.coalesce("page", F.lit(0)), "at": F.coalesce("at", F.lit(0))})
+    edges = _edges(own, ["name", "_file", "page", "_rest", "at"], "seq", "node", "mode")
+    best = edges.groupBy("src", "dst").agg(F.min_by(F.struct("name", "hazard"), F.struct("_r", "name")).alias("_b"))
+    return best.select("src", "dst", "_b.name", "_b.hazard")
+
+
+def plan_errors(plan: DataFrame) -> DataFrame:
+    """Nodes that wait for themselves: ``(node, error)``."""
+    return plan.where("src = dst").select(F.col("src").alias("node"), F.lit("CycleDetected").alias("error"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int) -> DataFrame:
     """Pairs of ranges (lo, hi on both sides) of a key that overlap: both are dealt to the buckets that they touch, and a pair counts in the first they share."""
-    deal = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"{p}_lo") / bucket), F.floor((F.col(f"{p}_hi") - 1) / bucket))))
+    deal = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys)).withColumn("_b", F.explode(F.sequence(_bucket(f"{p}_lo", bucket), _bucket(f"{p}_hi", bucket, 1))))
     met = deal(left, "a").join(deal(right, "b"), [*keys, "_b"]).where("a_lo < b_hi and b_lo < a_hi")
-    return met.where(F.col("_b") == F.floor(F.greatest("a_lo", "b_lo") / bucket)).drop("_b")
+    return met.withColumn("_lo", F.greatest("a_lo", "b_lo")).where(F.col("_b") == _bucket("_lo", bucket)).drop("_b", "_lo")
 
 
 def overlay(ranges: DataFrame, keys: list[str], order: str, bucket: int) -> DataFrame:
@@ -129,20 +185,27 @@ def runnable(submissions: DataFrame, resource: list[str]) -> DataFrame:
 def admit(requests: DataFrame, group: str, order: str, capacity: dict[str, int]) -> DataFrame:
     """``requests`` with ``admitted``: in order, whatever fits into what is left of all dimensions at once.
 
-    A refused request takes nothing, so this is no running sum: each group is folded in order, in SQL, over an array of its
-    requests. A group is one budget's queue.
+    A refused request takes nothing, so this is no running sum: rows go by group and in order through one pass that holds the
+    sums of the group it is in, whatever its size. A group is one budget's queue and decided by one task.
     """
     dims = [d for d in capacity if d in requests.columns]
-    items = F.array_sort(F.collect_list(F.struct(order, *dims)))
-    zero = F.struct(*(F.lit(0).cast("long").alias(d) for d in dims), F.array().cast("array<boolean>").alias("ok"))
+    slim = requests.select(group, order, *dims).repartition(group).sortWithinPartitions(group, order)
+    schema = f"{group} {requests.schema[group].dataType.simpleString()}, {order} {requests.schema[order].dataType.simpleString()}, admitted boolean"
 
-    def step(a: Column, x: Column) -> Column:
-        fits = fold(lambda p, q: p & q, [a[d] + x[d] <= capacity[d] for d in dims])
-        return F.struct(*(F.when(fits, a[d] + x[d]).otherwise(a[d]).cast("long").alias(d) for d in dims), F.concat(a["ok"], F.array(fits)).alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, begun = None, [0] * len(dims), False
+        for batch in batches:
+            ok = []
+            for key, *wanted in zip(batch.column(0).to_pylist(), *(batch.column(i + 2).to_pylist() for i in range(len(dims))), strict=True):
+                if not begun or key != now:
+                    now, used, begun = key, [0] * len(dims), True
+                after = [a + x for a, x in zip(used, wanted, strict=True)]
+                fits = all(a <= capacity[d] for a, d in zip(after, dims, strict=True))
+                used = after if fits else used
+                ok.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], [group, order, "admitted"])
 
-    folded = requests.groupBy(group).agg(items.alias("_items")).withColumn("_f", F.aggregate("_items", zero, step))
-    told = folded.select(group, F.explode(F.arrays_zip("_items", F.col("_f.ok").alias("ok"))).alias("_z")).select(group, F.col(f"_z._items.{order}").alias(order), F.col("_z.ok").alias("admitted"))
-    return requests.join(told, [group, order])
+    return requests.join(slim.mapInArrow(run, schema), [group, order])
 
 
 def can_ever_fit(capacity: dict[str, int]) -> Column:
@@ -151,14 +214,26 @@ def can_ever_fit(capacity: dict[str, int]) -> Column:
 
 def ready_order(nodes: DataFrame) -> DataFrame:
     """``nodes`` (unlock, mean_ns, node) with ``place``: what unlocks most first, then what takes longest, then the lower number."""
-    return nodes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("unlock"), F.desc("mean_ns"), "node")).cast("long"))
+    return number_global(nodes, [F.desc("unlock"), F.desc("mean_ns"), F.asc("node")], "place")
+
 
+def fusion_groups(nodes: DataFrame, keys: list[str], order: str, kind: str, proofs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``(*keys, kind, first, last, members)`` of chains of neighbours of one kind.
 
-def fusion_groups(nodes: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:
-    """``(*keys, kind, first, last, members)`` of chains of neighbours of one kind."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    new = (~F.lag(kind).over(w).eqNullSafe(F.col(kind))).cast("int")
-    runs = nodes.withColumn("_n", new).withColumn("_g", F.sum("_n").over(w))
+    ``proofs`` (kind, proof): only kinds with a proof that isn't empty fuse, the others stay alone. ``edges`` (src, dst, over
+    ``order``): neighbours fuse only if the one is all that waits for the other, and that all it waits for.
+    """
+    joins = F.lag(kind).over(w := Window.partitionBy(*keys).orderBy(order)).eqNullSafe(F.col(kind))
+    runs = nodes.withColumn("_before", F.lag(order).over(w))
+    if proofs is not None:
+        allowed = proofs.where("proof <> ''").select(F.col("kind").alias("_kind")).distinct()
+        runs = runs.join(allowed, runs[kind] == allowed["_kind"], "left")
+        joins = joins & F.col("_kind").isNotNull()
+    if edges is not None:
+        out, in_ = (edges.groupBy(F.col(c).alias(f"_{c}")).agg(F.count("*").alias(f"_n_{c}"), F.min(o).alias(f"_to_{c}")) for c, o in (("src", "dst"), ("dst", "src")))
+        runs = runs.join(out, runs["_before"] == out["_src"], "left").join(in_, runs[order] == in_["_dst"], "left")
+        joins = joins & F.coalesce((F.col("_n_src") == 1) & (F.col("_n_dst") == 1) & (F.col("_to_src") == F.col(order)), F.lit(False))
+    runs = runs.withColumn("_n", (~joins).cast("int")).withColumn("_g", F.sum("_n").over(w))
     return runs.groupBy(*keys, kind, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("members")).drop("_g")
 
 

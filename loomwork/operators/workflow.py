@@ -68,11 +68,17 @@ def wake_once(wakes: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
     return wakes.select(*keys).distinct().join(tasks.where("status in ('ready', 'claimed')"), keys, "left_anti").withColumn("status", F.lit("ready"))
 
 
+#: Numbers of events that are folded together: a long history is many rows, and its parts are put together after.
+FOLDED = 4096
+
+
 def fold_states(history: DataFrame, keys: list[str], sequence: str, kind: str, table: dict[tuple[str, str], str], initial: str) -> DataFrame:
     """``(*keys, state, events)`` of machines given as a table of (state, kind) -> state, folded in order inside the plan.
 
-    Pairs that the table lacks leave the state. No Python: the fold is an aggregate over each workflow's ordered events.
+    Pairs that the table lacks leave the state. No Python, and no history in one row: each stretch of FOLDED numbers is folded for
+    every state it may begin in, and the stretches, now maps from state to state, are folded after. ``sequence`` is a whole number.
     """
+    names = list(dict.fromkeys([initial, *(a for a, _ in table), *table.values()]))
 
     def step(state: Column, x: Column) -> Column:
         out = state
@@ -81,7 +87,12 @@ def fold_states(history: DataFrame, keys: list[str], sequence: str, kind: str, t
         return out
 
     events = F.array_sort(F.collect_list(F.struct(sequence, kind)))
-    return history.groupBy(*keys).agg(events.alias("_e")).select(*keys, F.aggregate("_e", F.lit(initial), step).alias("state"), F.size("_e").cast("long").alias("events"))
+    part = history.groupBy(*keys, F.expr(f"{sequence} div {FOLDED}").alias("_part")).agg(events.alias("_e"))
+    maps = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.aggregate("_e", F.lit(n), step) for n in names)))
+    part = part.select(*keys, F.struct("_part", maps.alias("to"), F.size("_e").cast("long").alias("n")).alias("_s"))
+    folded = part.groupBy(*keys).agg(F.array_sort(F.collect_list("_s"), lambda a, b: F.when(a["_part"] < b["_part"], -1).when(a["_part"] > b["_part"], 1).otherwise(0)).alias("_s"))
+    state = F.aggregate("_s", F.lit(initial), lambda a, x: F.element_at(x["to"], a))
+    return folded.select(*keys, state.alias("state"), F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("events"))
 
 
 @dataclass(frozen=True)
@@ -156,12 +167,12 @@ def verify_replay(history: DataFrame, recorded: DataFrame, keys: list[str]) -> D
 
 def activity_verdicts(tasks: DataFrame, now: Column) -> DataFrame:
     """``tasks`` with ``verdict``: which time limit has passed (to start, to close, between heartbeats), or cancelled."""
-    late = lambda since, limit: (F.col(since).isNotNull()) & (now - F.col(since) > F.col(limit))
+    late = lambda since, limit: (F.col(since).isNotNull()) & (now - F.col(since) >= F.col(limit))
     verdict = (
         F.when(F.col("cancel_requested"), "cancelled")
         .when(F.col("started_ms").isNull() & late("scheduled_ms", "schedule_to_start_ms"), "schedule_to_start_timeout")
         .when(late("started_ms", "start_to_close_ms"), "start_to_close_timeout")
-        .when(F.col("started_ms").isNotNull() & (now - F.coalesce("heartbeat_ms", "started_ms") > F.col("heartbeat_timeout_ms")), "heartbeat_timeout")
+        .when(F.col("started_ms").isNotNull() & (now - F.coalesce("heartbeat_ms", "started_ms") >= F.col("heartbeat_timeout_ms")), "heartbeat_timeout")
         .otherwise("running")
     )
     return tasks.withColumn("verdict", verdict)

@@ -19,28 +19,35 @@ def inbox(messages: DataFrame, keys: list[str], watermark: tuple[str, str] | Non
     return messages.dropDuplicates(keys)
 
 
-def run_inbox(spark: SparkSession, path: str, root: str, folder: str | None = None) -> DataFrame:
-    """De-duplicate an events table as a stream, once through what is there, into the shared folder; run again, it goes on.
+def firsts(messages: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each key's earliest row of the first micro-batch that has it, once: what was delivered is held as keyed state, so no batch reads earlier output."""
+    kinds = {c: messages.schema[c].dataType.simpleString() for c in (*keys, order)}
 
-    Of the repeats in a micro-batch the earliest event wins; what an earlier batch delivered stays.
+    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.exists:
+            return
+        least = min(part[order].min() for part in parts)
+        held.update((True,))
+        yield pd.DataFrame([(*key, least)], columns=[*keys, order])
+
+    return messages.groupBy(*keys).applyInPandasWithState(step, ", ".join(f"{c} {t}" for c, t in kinds.items()), "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_inbox(spark: SparkSession, path: str, root: str, keys: list[str], order: str, folder: str | None = None) -> DataFrame:
+    """De-duplicate a table as a stream, once through what is there, into the shared folder; run again, it goes on.
+
+    Of the repeats in a micro-batch the earliest by ``order`` wins; what an earlier batch delivered stays. A batch that runs again replaces its own part.
     """
     folder = folder or f"{root}/inbox-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # a table may be one file or a folder of files: the parent folder is watched, and the name filtered
     parent, _, name = path.rstrip("/").rpartition("/")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
-
-    def deliver(batch: DataFrame, epoch: int) -> None:
-        """Idempotent by epoch: a batch that runs again replaces its own part."""
-        fresh = batch.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-        if epoch > 0:
-            before = spark.read.schema("user_id long, event_type string, event_id long").option("recursiveFileLookup", "true").parquet(*(f"{folder}/out/epoch={e}" for e in range(epoch)))
-            fresh = fresh.join(before.select("user_id", "event_type"), ["user_id", "event_type"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
-
-    query = stream.select("user_id", "event_type", "event_id").writeStream.foreachBatch(deliver).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    fresh = firsts(stream.select(*keys, order), keys, order)
+    out = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in (*keys, order))
+    query = fresh.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id long, event_type string, event_id long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return spark.read.schema(out).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
