@@ -6,7 +6,7 @@ minimizer travels as one string. Buckets with a single occurrence are left out a
 of buckets at a time. Long ties are resolved by ranks of a cover sample: suffixes are laid out so that their minimizers
 are congruent modulo 16, which makes the places congruent to 0 a difference cover for all pairs that are compared; the
 ranks of the 16, 32 and 64 bytes from those places are computed once per block, and a suffix is ordered by the bytes before its first sample
-place, two sample ranks and the bytes after. Memory is bounded by the block.
+place, two sample ranks and the bytes after. Memory is bounded by the block and the largest bucket, see HOT.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from .common import materialize, spread
 GRAM, STEP = 24, 16
 #: Bytes of text whose minimizers are computed together, and bytes of suffix strings sorted together.
 CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
-#: Minimizers with more occurrences go by fingerprints of whole windows: their suffixes then spread over all tasks.
-HOT = 50_000
+#: A minimizer with more than HOT occurrences is no bucket: its windows go to buckets by what STRIDE windows side by side share,
+#: and beyond HOTTER times as many by all their bytes. So a bucket holds at most HOT strings of up to 175 bytes, or HOT * HOTTER of up
+#: to 107, or equal ones only, which need no memory; suffix sorting decides in all of them.
+HOT, HOTTER, STRIDE = 50_000, 20, 8
 #: Suffixes that are sorted at once; larger blocks are sorted by ranges of the minimizer's place in the window.
 SORT_ROWS = 400_000
-#: Strings of a task that are remembered, by 128-bit hashes, to send equal ones once.
-SEEN = 1_000_000
+#: Strings of a task that are remembered, to send equal ones once.
+SEEN = 300_000
 #: Places are below this power of two in the combined key of hash and place.
 PLACE = 28
 
@@ -121,8 +123,25 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, n int, doc long, at long, more array<struct<doc:long,at:long>>")
 
 
+def parts_of_run(raw: bytes, at: int, level: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """``(key, start, windows)`` of the parts in which a hot run travels.
+
+    Windows are parted by their minimizer's place in them, so that equal windows are in like parts whatever surrounds them, and
+    the key is the hash of the bytes that all windows of a part have, or would have if the run were longer.
+    """
+    start, anchor, windows = at >> 20, (at >> 20) + ((at >> 10) & 1023), at & 1023
+    stride = 1 if level == 2 else STRIDE
+    low = start
+    while low < start + windows:
+        part = (anchor - low) // stride
+        last = anchor - part * stride  # the last window whose minimizer has such a place
+        n = min(last + 1, start + windows) - low
+        yield xxhash.xxh3_64_intdigest(raw[last : last - stride + 1 + length], part) - (1 << 63), low, n
+        low += n
+
+
 def suffixes(joined: DataFrame, length: int) -> DataFrame:
-    """``(key, doc, at, payload)`` of the runs in ``twins``: the string of a run; of hot ones 8 more hash bytes per window; null if known.
+    """``(key, doc, at, payload)`` of the runs in ``twins``: the string of a run, or of each part of a hot one; null if known.
 
     Documents of a task come in order, so of equal strings in a task only the earliest travels; the others are known to
     go, whatever else there is.
@@ -138,9 +157,9 @@ def suffixes(joined: DataFrame, length: int) -> DataFrame:
                 out: tuple[list, list, list, list] = ([], [], [], [])
 
                 def put(key: int, doc: int, at: int, payload: bytes) -> None:
-                    print_ = xxhash.xxh3_128_digest(payload, key & ((1 << 64) - 1))
-                    known = print_ in seen
-                    seen.add(print_)
+                    known = payload in seen
+                    if not known:
+                        seen.add(payload)
                     if known and out[3] and out[3][-1] is None and out[1][-1] == doc:
                         start, windows = out[2][-1] >> 20, out[2][-1] & 1023
                         if at >> 20 == start + windows and windows + (at & 1023) < 1024:  # known runs side by side are one
@@ -154,17 +173,16 @@ def suffixes(joined: DataFrame, length: int) -> DataFrame:
                     if len(seen) > SEEN or last is not None and doc < last:
                         seen.clear()
                     last = doc
-                    places = [(x >> 1, x & 1) for x in sorted(lists[i])]
+                    places = [(x >> 2, x & 3) for x in sorted(lists[i])]
                     packed = np.array([p for p, _ in places], np.int64)
                     keys = gram_hashes(np.frombuffer(raw, np.uint8), (packed >> 20) + ((packed >> 10) & 1023)).view(np.int64).tolist()
-                    for (at, hot), key in zip(places, keys, strict=True):
+                    for (at, level), key in zip(places, keys, strict=True):
                         start, windows = at >> 20, at & 1023
-                        if not hot:
+                        if not level:
                             put(key, doc, at, raw[start : start + windows + length - 1])
                             continue
-                        for w in range(start, start + windows):
-                            digest = xxhash.xxh3_128_digest(raw[w : w + length])
-                            put(int.from_bytes(digest[:8], "big", signed=True), doc, (w << 20) | 1, digest[8:])
+                        for own, begin, n in parts_of_run(raw, at, level, length):
+                            put(own, doc, (begin << 20) | ((start + ((at >> 10) & 1023) - begin) << 10) | n, raw[begin : begin + n + length - 1])
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["key", "doc", "at", "payload"])
 
@@ -333,8 +351,8 @@ def removed_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     texts = rows.where("doc is not null").select("doc", "text", *carried).repartition(parts, "doc")
     found = occurrences(rows.select("doc", "text"), length)
     total = F.sum("n").over(Window.partitionBy("h"))
-    twins = found.withColumn("total", total).where("total > 1").selectExpr(f"total > {HOT} as hot", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
-    lists = twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 1) | cast(hot as int)")).alias("runs"))
+    twins = found.withColumn("total", total).where("total > 1").selectExpr(f"case when total > {HOT * HOTTER} then 2 when total > {HOT} then 1 else 0 end as level", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
+    lists = twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 2) | level")).alias("runs"))
     strings = suffixes(texts.join(lists.hint("shuffle_merge"), "doc").select("doc", "text", "runs", *carried), length)
     gone = spans(strings, length).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.join(gone.hint("shuffle_merge"), "doc", "left")

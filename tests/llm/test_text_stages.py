@@ -19,9 +19,10 @@ def messy_texts():
     return texts
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "hotter"), [(50_000, 20), (3, 20), (1, 3), (0, 1)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, hotter):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOTTER", hotter)
     texts = messy_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in suffix_dedup.deduplicate(df).collect()}
