@@ -131,19 +131,21 @@ def _calibrate(tree: Tree, unit: np.ndarray, random: np.random.Generator, k: int
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, vector)`` of the rows that take part: no null id, vector or component, none that is not finite, not all zero.
+    """``(vec_id, vector)``, in double precision, of the rows that take part: no null id, vector or component, none that is not finite, not all zero.
 
-    If lengths differ, the most frequent one (the smallest of equals) takes part. Rows that repeat an id and vector count once.
+    Rows that repeat an id and vector count once.
     """
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    fine = own.where("vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
-    size = fine.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return fine.where(F.size("vector") == (size["d"] if size else -1)).distinct()
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return own.where("vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)").distinct()
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors as rows, each scaled by a power of two: exact, and no square of a component is too large or small for its size."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if not len(column):
+        return np.zeros((0, 0))
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -173,14 +175,22 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray,
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, its ``k`` nearest of all other rows.
 
-    Fewer rows than ``k``: all found. Rows that take no part are told in ``valid``. No rows: an empty result.
+    Fewer rows than ``k``: all found. Rows that take no part are told in ``valid``. Vectors of different lengths have no
+    cosine, so each length is searched on its own. No rows: an empty result.
     """
     spark = vectors.sparkSession
     own = materialize(valid(vectors, id_col, vector_col), "vectors")
+    lengths = sorted(r["d"] for r in own.select(F.size("vector").alias("d")).distinct().collect())
+    found = None
+    for d in lengths:
+        some = _search(own.where(F.size("vector") == d) if len(lengths) > 1 else own, every, k)
+        found = some if found is None else found.unionByName(some)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _search(own: DataFrame, every: int, k: int) -> DataFrame:
+    """``search`` over vectors of one length; there is one at least."""
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample.num_rows:
-        return spark.createDataFrame([], schema)
     tree = fit(_unit(_matrix(sample.column(0))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +202,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
             bins = [tree.bins(u, tree.visits) for u in _unit(_matrix(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.list_(pa.int32()))], ["vec_id", "vector", "leaves"])
 
-    rows = materialize(own.mapInArrow(route, "vec_id long, vector array<float>, leaf int"), "leaves")
-    queries = materialize(own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "vec_id long, vector array<float>, leaves array<int>").select("vec_id", "vector", F.explode("leaves").alias("leaf")), "visits")
+    rows = materialize(own.mapInArrow(route, "vec_id long, vector array<double>, leaf int"), "leaves")
+    queries = materialize(own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "vec_id long, vector array<double>, leaves array<int>").select("vec_id", "vector", F.explode("leaves").alias("leaf")), "visits")
     # a row per leaf: the tree's sample bounds their number
     blocks = rows.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("row_blocks")).join(queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks")), "leaf")
     blocks = F.broadcast(materialize(blocks, "blocks"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -41,6 +42,56 @@ def test_tree_recall():
     assert hits / 300 >= 0.9
 
 
+def test_search_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 700)
+    monkeypatch.setattr(ann, "LEAF", 20)
+    monkeypatch.setattr(ann, "ROWS", 64)
+    random_ = np.random.default_rng(5)
+    rows = random_.normal(size=(2500, 12)) + 2 * random_.normal(size=(20, 12))[random_.integers(20, size=2500)]
+    rows[1000:1900] = rows[1000]  # a third of all rows are one vector
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, leaf string")
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 2500, 50):
+        want = brute(np.arange(2500), rows, q, 5)
+        assert len(got[q]) == 5 and all(any(v == i and abs(s - t) < 1e-12 for i, t in brute(np.arange(2500), rows, q, 2499)) for v, s in got[q][:1])
+        hits += len({v for v, _ in got[q]} & {v for v, _ in want})
+    assert hits / 250 >= 0.9
+
+
+def test_double_vectors_and_other_lengths(spark):
+    rows = [(0, [0.0, 1e300]), (1, [1e300, 1e300]), (2, [1e-300, 0.0]), (3, [1.0, 1.0 + 1e-12]), (50, [1.0, 2.0, 3.0]), (51, [2.0, 4.0, 6.5]), (100, [5.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3)] == [3, 1, 2] and abs(got[0, 2][1] - 0.5**0.5) < 1e-15 and got[0, 3][1] == 0
+    assert got[50, 1][0] == 51 and len(got) == 4
+
+
+def test_flow_is_the_cheapest():
+    random.seed(3)
+    for _ in range(60):
+        shards = random.randrange(2, 4)
+        rows = {i: random.randrange(0, 6) for i in range(random.randrange(1, 4))}
+        share = sum(rows.values()) // shards
+        first = {i: float(random.randrange(1, 9)) for i in rows}
+        last = {i: first[i] + random.randrange(0, 9) for i in rows}
+        cost = lambda i, n: n * first[i] if n < (rows[i] - share if i < shards else rows[i]) else (n - 1) * first[i] + last[i] if n else 0.0  # noqa: B023, E731
+        best = None
+        more = sum(rows.values()) - share * shards
+        for keep in itertools.product((0, 1), repeat=shards):  # which shards have one row more
+            if sum(keep) != more:
+                continue
+            moves = [(i, max(0, n - share - keep[i]) if i < shards else n) for i, n in rows.items()]
+            total = sum(cost(i, n) for i, n in moves)
+            best = total if best is None else min(best, total)
+        moved = sharding.transfers(rows, shards, first, last)
+        given = {i: sum(n for a, _, n in moved if a == i) for i in rows}
+        left = [rows.get(j, 0) - given.get(j, 0) + sum(n for _, b, n in moved if b == j) for j in range(shards)]
+        assert max(left) - min(left) <= 1 and sum(left) == sum(rows.values())
+        assert abs(sum(cost(i, n) for i, n in given.items()) - (best or 0.0)) < 1e-6
+
+
 def test_flow_moves_least():
     moved = sharding.transfers({0: 10, 1: 2, 2: 3}, 3, {0: 5.0}, {0: 7.0})
     assert sum(n for _, _, n in moved) == 5 and all(i == 0 for i, _, _ in moved)
