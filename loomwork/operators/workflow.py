@@ -287,3 +287,17 @@ class Registry:
         if (id_, version) in self.entries:
             return self.entries[id_, version][1]
         raise KeyError("UnknownVersion" if any(i == id_ for i, _ in self.entries) else "UnknownDefinition")
+
+
+class ActivityRegistry(Registry):
+    """Activities by type id with unique names. Each must tell how a second delivery is made harmless, as all are delivered at least once."""
+
+    CONTRACTS = ("idempotent", "keyed", "compensated")
+
+    def register_activity(self, type_id: int, name: str, idempotency: str, handler: Any) -> None:
+        if idempotency not in self.CONTRACTS:
+            raise ValueError("IdempotencyContractRequired")
+        self.register(type_id, 1, name, (idempotency, handler))
+
+    def by_name(self, name: str) -> Any | None:
+        return next((value for n, value in self.entries.values() if n == name), None)

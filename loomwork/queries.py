@@ -443,7 +443,7 @@ def q40_archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     with n as (select user_id, event_type, row_number() over (partition by user_id order by event_id) as decision from events), t as (select user_id, min(decision) filter (event_type in ('purchase', 'error')) as last from n group by user_id),
     d as (select n.* from n join t using (user_id) where decision <= coalesce(last, decision)),
     c as (select * from (values ('signup', 1, 'schedule_activity', 'authenticate'), ('signup', 2, 'schedule_timer', 'login-timeout'), ('signup', 3, 'send_signal', 'login-notify'), ('error', 1, 'compensate', 'revoke-session')) x(event_type, place, kind, payload))
-    select user_id, decision, decision * 4294967296 + place as command_sequence, place, kind, encode(payload) as payload from d join c using (event_type)
+    select user_id, decision, decision * 4294967296 + place as command_sequence, place::bigint as place, kind, encode(payload) as payload from d join c using (event_type)
 """)
 def q41_login_fold_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events as a login workflow, folded by a Python transition; the commands that make work."""

@@ -131,7 +131,7 @@ def q47_receive_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.instances.selectExpr("'instance' as place", "workflow_id", "next_sequence as number").unionByName(made.tasks.selectExpr("'woken' as place", "workflow_id", "0L as number"))
 
 
-NUMBERED = "select user_id as workflow_id, event_type as kind, row_number() over (partition by user_id order by event_id) + case when user_id % 11 = 0 and event_id > 5000 then 1 else 0 end as sequence from events"
+NUMBERED = "select user_id as workflow_id, event_type as kind, cast(row_number() over (partition by user_id order by event_id) + case when user_id % 11 = 0 and event_id > 5000 then 1 else 0 end as bigint) as sequence from events"
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def q12_canonical_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecs.canonical(world(spark, sf_dir), ["health", "name"], 16).select("entity_index", "archetype", "chunk", "row", "place")
 
 
-@query(f"with {W}, f as (select entity_index as i, row_number() over (order by health_ver desc, entity_index) as n from w where entity_index % 2 = 0), c as (select event_id as sequence, row_number() over (order by event_id) as n from events) select sequence, coalesce(i, 1000 + c.n - 1 - (select count(*) from f)) as entity_index, case when i is null then 1 else 2 end as entity_generation from c left join f on c.n = f.n")
+@query(f"with {W}, f as (select entity_index as i, row_number() over (order by health_ver desc, entity_index) as n from w where entity_index % 2 = 0), c as (select event_id as sequence, row_number() over (order by event_id) as n from events) select sequence, coalesce(i, 1000 + c.n - 1 - (select count(*) from f)) as entity_index, case when i is null then 1 else 2 end::bigint as entity_generation from c left join f on c.n = f.n")
 def q12_assign_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indices of a batch's creations: free ones, latest first, then new ones."""
     free = world(spark, sf_dir).where("entity_index % 2 = 0").selectExpr("entity_index", "cast(entity_generation as long) as generation", "health_ver as freed_at")

@@ -115,10 +115,10 @@ def test_inbox_stream_goes_on(spark, tmp_path):
         pd.DataFrame(rows, columns=["user_id", "event_type", "event_id"]).to_parquet(src / f"{name}.parquet")
 
     add("a", [(1, "x", 5), (1, "x", 4), (2, "y", 1)])
-    got = queues.run_inbox(spark, f"file://{src}", "", f"file://{out}")
+    got = queues.run_inbox(spark, f"file://{src}", "", ["user_id", "event_type"], "event_id", f"file://{out}")
     assert sorted(map(tuple, got.select("user_id", "event_type", "event_id").collect())) == [(1, "x", 4), (2, "y", 1)]
     add("b", [(1, "x", 1), (3, "z", 9)])
-    got = queues.run_inbox(spark, f"file://{src}", "", f"file://{out}")
+    got = queues.run_inbox(spark, f"file://{src}", "", ["user_id", "event_type"], "event_id", f"file://{out}")
     assert sorted(map(tuple, got.select("user_id", "event_type", "event_id").collect())) == [(1, "x", 4), (2, "y", 1), (3, "z", 9)]
 
 
