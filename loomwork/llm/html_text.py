@@ -1,6 +1,6 @@
 """Main text of web pages: structure drops what is never text, and subtrees that recur on a host are removed as its template.
 
-First pass: each page's element subtrees are hashed, and Spark counts per host on how many different pages each occurs.
+First pass: each page's element subtrees are hashed, and Spark counts per host on how many pages of different text each occurs.
 Second pass: pages are parsed again with their host's template hashes, and those subtrees are left out.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, spread
 
-#: A subtree belongs to a host's template if it is on at least so many of its different pages, and on at least this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.5
+#: A subtree belongs to a host's template if it is on at least so many pages of different main text. The share only bounds a
+#: host's list: to 200 times the mean number of subtrees on a page.
+LEAST_PAGES, LEAST_SHARE = 3, 0.005
 #: Rows of a host meet its template under so many keys that no key has more than one in PARTS times the partitions of all rows.
 PARTS = 4
 
@@ -258,8 +259,8 @@ def host_of(url: str = "url") -> F.Column:
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, template)`` from ``(page_id, url, html, host)``: the sorted hashes of subtrees that recur on the host.
 
-    Pages of the same html count once, so copies of an article don't make a template of it. At least half of a host's pages hold each
-    hash, so a host's list is at most twice its pages' mean number of subtrees. Pages without a host have no template.
+    Pages of the same main text count once, so that copies of an article, in other surroundings too, don't make a template
+    of it. Pages without a host have no template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +268,9 @@ def templates(pages: DataFrame) -> DataFrame:
             hosts, prints, own = [], [], []
             for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 hosts.append(host)
-                prints.append(xxhash.xxh64_intdigest(source) - (1 << 63))
-                own.append([0, *set(Page(source).hashes)])
+                page = Page(source)
+                prints.append(xxhash.xxh64_intdigest(page.text() or source) - (1 << 63))
+                own.append([0, *set(page.hashes)])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["host", "page", "subtrees"])
 
     seen = pages.where("host <> ''").select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, page long, subtrees array<long>")

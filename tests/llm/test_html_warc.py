@@ -51,6 +51,13 @@ def test_templates_decide_where_no_tag_does(spark):
     assert got == {i: f"Own text {i} of this page." for i in range(9)} | {100: "Home Shop\n\nOwn text 100 of this page.\n\nAll rights reserved"}
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda i, body: f"<body><div><span>menu {i % 4}</span></div><article><div><div>{body}</div></div></article></body>"
+    rows = [(i, f"https://copies.example/{i}", page(i, "the same article in other surroundings")) for i in range(12)] + [(100 + i, f"https://copies.example/n{i}", page(i, f"article {i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "the same article in other surroundings" for i in range(12)} | {100 + i: f"article {i}" for i in range(20)}
+
+
 def test_a_large_host_is_parted(spark):
     rows = [(i, f"https://large.example/{i}", f"<body><div>menu</div><div><p>text {i}</p></div></body>") for i in range(400)] + [(1000 + i, f"https://h{i}.example/", "<p>x</p>") for i in range(50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("other"), "template": F.lit(1), "kind": F.lit(0), "salt": F.lit(3)})
