@@ -32,9 +32,9 @@ from .common import discard, materialize, open_store, remove, slices, spread, wo
 
 START, END = 0, 1
 #: Bytes of text that are packed together; documents are looked up in so many blocks, one after the other, so that only a block's requests lie on disk.
-PACK_BYTES, BLOCKS = 12 << 20, 4
+PACK_BYTES, BLOCKS = 8 << 20, 4
 #: Trusted text of one shard, at most about, and the least number of shards: it follows the text, not the cluster, as every pack has a row in every shard.
-SHARD_BYTES, LEAST_SHARDS = 16 << 20, 12
+SHARD_BYTES, LEAST_SHARDS = 8 << 20, 24
 KEY_BITS = 40
 WORDS, BIGRAMS, TRIGRAMS = 1, 2, 3
 #: Counts of a key: of itself, then as a context its total and how many words follow once, twice, more often.
@@ -272,7 +272,7 @@ def _counts(part: DataFrame, shards: int) -> DataFrame:
                     out.append((s, lang, 0, squeeze(*parts)))
                 yield _batch(out, PART_TYPES)
 
-    return part.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PART)
+    return part.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PART)
 
 
 LAW = "shard int, path string, lang string, kind int, types long, total long, n1 long, n2 long, n3 long, n4 long"
@@ -305,7 +305,7 @@ def _write_shards(counts: DataFrame, shards: int, folder: str) -> DataFrame:
                 f.write(raw.getvalue())
             yield _batch(out, LAW_TYPES)
 
-    return materialize(counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, LAW), "count-shards")
+    return materialize(counts.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, LAW), "count-shards")
 
 
 class Shard:
@@ -415,7 +415,7 @@ def _answered(asked: DataFrame, shards: int, folder: str, names: dict[int, str])
                     out.append((number, lang, s, squeeze(*found), None, None, None, None))
                 yield _batch(out, PACK_TYPES)
 
-    return asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PACK)
+    return asked.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, PACK)
 
 
 def _scored(rows: DataFrame, shards: int, laws: dict[str, Law]) -> DataFrame:
