@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first through a priority queue.
 
 The tree is fitted on a bounded sample; every row is put in a leaf. The number of leaves that a query visits is widened
-until the sample's own queries find their true neighbours at the wanted recall. Leaves are searched in blocks of rows and
-queries, so a leaf with a third of all rows is many small groups.
+until the sample's own queries find their true neighbours at the wanted recall. A leaf with many rows gets a tree of its own,
+fitted on a sample of its rows where they lie, and so on, so that the tree grows with the table and no task holds all of it. Leaves are
+searched in blocks of rows and queries, so that one that can't be split, of a third of all rows, is many small groups.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from .common import materialize
 SAMPLE, BRANCHES, LEAF = 20_000, 8, 160
 #: Sample rows that serve as queries to calibrate visits, and the recall to reach on them.
 PROBES, RECALL = 400, 0.98
+#: A leaf with more rows is split, by a tree over about so many of them.
+SPLIT, OWN_SAMPLE = 32_768, 4096
 #: Rows and queries that one group compares.
 ROWS, QUERIES = 4096, 2048
 
@@ -172,6 +176,63 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray,
     return found
 
 
+def _grown(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with finer leaves: as long as some leaf has over SPLIT rows and can be split, a tree over a sample of its rows is put in its place.
+
+    A split leaf's number is a hash of its old one and the place in its tree; a query goes on to as many of the new leaves as that
+    tree's calibration asks for.
+    """
+    whole = None
+    while True:
+        size = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {SPLIT}")
+        if whole is not None:
+            size = size.join(whole, "leaf", "left_anti")
+        size = materialize(size, "large-leaves")
+        if not size.take(1):
+            return rows, queries
+        some = rows.join(size, "leaf").where(f"pmod(xxhash64(vec_id), greatest(1, n div {OWN_SAMPLE})) = 0").select("leaf", "vector")
+
+        def plant(table: pa.Table) -> pa.Table:
+            tree = fit(_unit(_matrix(table.column("vector").slice(0, 4 * OWN_SAMPLE))))
+            return pa.table({"leaf": table.column("leaf").slice(0, 1), "leaves": pa.array([tree.leaves], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+        trees = materialize(some.groupBy("leaf").applyInArrow(plant, "leaf long, leaves int, tree binary").join(size, "leaf"), "leaf-trees")
+        stuck = trees.where("leaves < 2").select("leaf")
+        whole = materialize(stuck if whole is None else whole.unionByName(stuck), "whole-leaves")
+        trees = trees.where("leaves > 1")
+        rows, queries = (materialize(_through(df, trees, visits), "leaves") for df, visits in ((rows, False), (queries, True)))
+
+
+def _through(df: DataFrame, trees: DataFrame, visits: bool) -> DataFrame:
+    """``(vec_id, vector, leaf)`` with the new leaves of split ones: the nearest, or with ``visits`` all that a query visits."""
+    parts = f"cast(ceil(n / {SPLIT}) as int)"
+    told = trees.selectExpr("leaf", f"{parts} as parts")
+    met = df.join(told, "leaf", "left")
+    same = met.where("parts is null").select("vec_id", "vector", "leaf")
+    moved = met.where("parts is not null").selectExpr("leaf", "cast(pmod(xxhash64(vec_id), parts) as int) as part", "1 as kind", "vec_id", "vector", "cast(null as binary) as tree")
+    heads = trees.selectExpr("leaf", f"explode(sequence(0, {parts} - 1)) as part", "0 as kind", "cast(null as long) as vec_id", "cast(null as array<double>) as vector", "tree")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, leaf = None, None
+        for batch in batches:
+            leaves, kinds = batch.column("leaf").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((leaves[1:] != leaves[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(leaves)]
+            for a, b in zip(edges, edges[1:]):
+                own = batch.slice(a, b - a)
+                if not own.num_rows:
+                    continue
+                if kinds[a] == 0:
+                    tree, leaf = pickle.loads(own.column("tree")[0].as_py()), int(leaves[a])
+                    continue
+                unit = _unit(_matrix(own.column("vector")))
+                found = [tree.bins(u, tree.visits) for u in unit] if visits else tree.assign(unit)[:, None].tolist()
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("vector"), pa.array([leaf] * own.num_rows, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["vec_id", "vector", "old", "places"])
+
+    dealt = moved.unionByName(heads).repartition("leaf", "part").sortWithinPartitions("leaf", "kind")
+    split = dealt.mapInArrow(run, "vec_id long, vector array<double>, old long, places array<int>")
+    return same.unionByName(split.select("vec_id", "vector", "old", F.explode("places").alias("place")).select("vec_id", "vector", F.xxhash64("old", "place").alias("leaf")))
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, its ``k`` nearest of all other rows.
 
@@ -202,11 +263,13 @@ def _search(own: DataFrame, every: int, k: int) -> DataFrame:
             bins = [tree.bins(u, tree.visits) for u in _unit(_matrix(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.list_(pa.int32()))], ["vec_id", "vector", "leaves"])
 
-    rows = materialize(own.mapInArrow(route, "vec_id long, vector array<double>, leaf int"), "leaves")
-    queries = materialize(own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "vec_id long, vector array<double>, leaves array<int>").select("vec_id", "vector", F.explode("leaves").alias("leaf")), "visits")
-    # a row per leaf: the tree's sample bounds their number
+    rows = materialize(own.mapInArrow(route, "vec_id long, vector array<double>, leaf int").withColumn("leaf", F.col("leaf").cast("long")), "leaves")
+    queries = own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "vec_id long, vector array<double>, leaves array<int>")
+    queries = materialize(queries.select("vec_id", "vector", F.explode("leaves").alias("leaf")).withColumn("leaf", F.col("leaf").cast("long")), "visits")
+    rows, queries = _grown(rows, queries)
+    # a row per leaf, far fewer than rows
     blocks = rows.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("row_blocks")).join(queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks")), "leaf")
-    blocks = F.broadcast(materialize(blocks, "blocks"))
+    blocks = materialize(blocks, "blocks")
     held = rows.join(blocks, "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id"), "row_blocks").cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
     asked = queries.join(blocks, "leaf").select("vec_id", "vector", "leaf", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"), F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int").alias("query_block"))
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from loomwork.llm import ann, sharding
 
@@ -42,9 +43,11 @@ def test_tree_recall():
     assert hits / 300 >= 0.9
 
 
-def test_search_over_many_leaves(spark, monkeypatch):
+@pytest.mark.parametrize("split", [32_768, 60])
+def test_search_over_many_leaves(spark, monkeypatch, split):
+    monkeypatch.setattr(ann, "SPLIT", split)
     monkeypatch.setattr(ann, "SAMPLE", 700)
-    monkeypatch.setattr(ann, "LEAF", 20)
+    monkeypatch.setattr(ann, "LEAF", 20 if split > 60 else 100)
     monkeypatch.setattr(ann, "ROWS", 64)
     random_ = np.random.default_rng(5)
     rows = random_.normal(size=(2500, 12)) + 2 * random_.normal(size=(20, 12))[random_.integers(20, size=2500)]
