@@ -46,7 +46,7 @@ def should_retry(attempt: Column, kind: Column, code: Column, max_attempts: int,
 
 def moving_mean(samples: Column) -> Column:
     """Integer mean of an ordered array in which each sample weighs an eighth; the first seeds it. Null for none."""
-    return F.aggregate(F.slice(samples, 2, F.greatest(F.size(samples) - 1, F.lit(0))), F.get(samples, F.lit(0)).cast("long"), lambda a, x: F.floor((a * 7 + x) / 8).cast("long"))
+    return F.aggregate(F.slice(samples, 2, F.greatest(F.size(samples) - 1, F.lit(0))), F.get(samples, F.lit(0)).cast("long"), lambda a, x: F.shiftright(a * 7 + x, 3))
 
 
 def histogram_place(value: Column, boundaries: list[float]) -> Column:
