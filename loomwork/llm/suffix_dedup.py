@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import materialize, spread
+from .common import discard, materialize, spread
 
 GRAM, STEP = 24, 16
 #: Bytes of text whose minimizers are computed together, and bytes of suffix strings sorted together.
@@ -349,10 +349,12 @@ def removed_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     # both joins by doc read one exchange of the texts: the filter makes their plans equal, and lists come as plain longs
     carried = [c for c in rows.columns if c == "rest"]
     texts = rows.where("doc is not null").select("doc", "text", *carried).repartition(parts, "doc")
-    found = occurrences(rows.select("doc", "text"), length)
-    total = F.sum("n").over(Window.partitionBy("h"))
-    twins = found.withColumn("total", total).where("total > 1").selectExpr(f"case when total > {HOT * HOTTER} then 2 when total > {HOT} then 1 else 0 end as level", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
-    lists = twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 2) | level")).alias("runs"))
+    found = materialize(occurrences(rows.select("doc", "text"), length), "minimizers")
+    # counts are combined before the shuffle, so a minimizer of many documents is a row per task, and the join splits its rows
+    totals = found.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
+    twins = found.join(totals.hint("shuffle_merge"), "h").selectExpr(f"case when total > {HOT * HOTTER} then 2 when total > {HOT} then 1 else 0 end as level", "inline(coalesce(more, array(named_struct('doc', doc, 'at', at))))")
+    lists = materialize(twins.groupBy("doc").agg(F.collect_list(F.expr("(at << 2) | level")).alias("runs")), "twin-runs")
+    discard(found)
     strings = suffixes(texts.join(lists.hint("shuffle_merge"), "doc").select("doc", "text", "runs", *carried), length)
     gone = spans(strings, length).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.join(gone.hint("shuffle_merge"), "doc", "left")
