@@ -194,3 +194,25 @@ def test_activities_need_a_contract():
     known.frozen = True
     with pytest.raises(RuntimeError, match="Frozen"):
         known.register_activity(3, "new", "keyed", print)
+
+
+def against_sql(spark, folder, name):
+    """Rows of a query and of its SQL over events numbered on both sides of 100,000, where arrivals of repeated results meet others'."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    ids = [*range(0, 40), *range(99_980, 100_040), *range(200_000, 200_040)]
+    rows = [(i, i % 23, ("click", "error", "view")[i % 3 if i % 4 else 1], float(i % 500)) for i in ids]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    found = entry.queries()[name](spark, f"file://{folder}").select(*columns).collect()
+    return sorted(map(tuple, found), key=repr), sorted(want.fetchall(), key=repr)
+
+
+def test_results_of_many_activities(spark, tmp_path):
+    found, want = against_sql(spark, tmp_path, "q50_finish_activities")
+    assert found == want and {v for _, v, _ in found} == {"finished", "NotFound", "StaleRuntimeEpoch"}
