@@ -216,3 +216,8 @@ def against_sql(spark, folder, name):
 def test_results_of_many_activities(spark, tmp_path):
     found, want = against_sql(spark, tmp_path, "q50_finish_activities")
     assert found == want and {v for _, v, _ in found} == {"finished", "NotFound", "StaleRuntimeEpoch"}
+
+
+def test_heartbeats_of_many_activities(spark, tmp_path):
+    found, want = against_sql(spark, tmp_path, "q50_heartbeats")
+    assert found == want and (99_985, 99_992) in found and (100_001, 100_008) in found and (200_030, 200_040) in found
