@@ -1,15 +1,19 @@
-"""Near-duplicates by exact similarity: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 are linked.
+"""Near-duplicates by SimHash and exact similarity: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 are linked.
 
-At that similarity 64-bit fingerprints differ in about ten bits, where no chain of their segments is a selective key. So
-candidates come from prefixes: with the shingles of all texts in one order, two such sets share one of each text's first
-n - ceil(0.8 n) + 1. Any order loses no pair; shingles frequent in a sample come last, so that passages which many texts hold
-make no candidates. The exact similarity of the sets decides.
+First SimHash: texts get 64-bit fingerprints of their five-word shingles, pigeonring chains bring together those that differ
+in three bits or fewer, the full Hamming check follows, then the exact similarity of the sets, and what is linked becomes one group.
+
+The exact way for the rest: at a similarity of 0.8 fingerprints differ in about ten bits, where no chain of their segments is
+a selective key. So pairs of different groups which fingerprints did not bring together, and only these, come from prefixes:
+with the shingles of all texts in one order, two such sets share one of each text's first n - ceil(0.8 n) + 1. Any order
+loses no pair; shingles frequent in a sample come last, so that passages which many texts hold make no candidates.
 
 Where many texts share a prefix shingle they are not compared all with all at first: each meets one other text of the
-shingle, a different one in each round, and what is linked becomes one group. Then texts of different groups meet, each
+shingle, and what is linked becomes one group. In the first round that is the text of whose prefix most is shared, as
+what copies of one text have in common is that text; in later ones it changes. Then texts of different groups meet, each
 pair once, so no link between groups is lost, and a cluster of near copies costs a few comparisons a text. A pair is compared
-in full only if all bounds still allow 0.8: the bins of shingles that only one of both texts uses, its shared prefix shingles
-with what may follow the last of them, and the lesser counts of both texts in each of the 256 bins.
+in full only if all bounds still allow 0.8: the 1024 slots of shingles that only one of both texts uses, its shared prefix
+shingles with what may follow the last of them, and the lesser counts of both texts in each of the 256 bins.
 """
 
 from __future__ import annotations
@@ -25,21 +29,24 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_and_text, materialize, slices
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, links as near_fingerprints, shingle_hashes
 
 WORDS = 5
 #: One text of so many is sampled; a shingle in so many of these comes last in the order; at most so many are kept.
 SAMPLED, FREQUENT, MOST = 16, 3, 200_000
 #: Shingles of more than HEAVY texts of several groups are met in rounds first, so many at most, and until a round links under one in STALE pairs.
 ROUNDS, HEAVY, STALE = 12, 64, 20
-BINS, USED = 256, ("u0", "u1", "u2", "u3")
+BINS, SLOTS = 256, 1024
+USED = tuple(f"u{k}" for k in range(SLOTS // 64))
+#: Fingerprints link at so many differing bits or fewer.
+RADIUS = 3
 #: Bits of the map by which the rows of candidates are found again in one scan: 2 MB whatever the input; a bit too many only costs work.
 MAP_BITS = 1 << 24
 
 
-def own_shingles(text: str | None) -> tuple[int, np.ndarray]:
-    """A key of the text's words, 0 for none, and its distinct shingles, ascending."""
-    found = np.unique(shingle_hashes(text, WORDS).view(np.int64))
+def own_shingles(text: str | None, hashes: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """A key of the text's words, 0 for none, and its distinct shingles, ascending; ``hashes`` are its shingles, where they are at hand."""
+    found = np.unique((shingle_hashes(text, WORDS) if hashes is None else hashes).view(np.int64))
     key = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())) if len(found) else 0
     return key - (1 << 64) if key >> 63 else key, found
 
@@ -80,9 +87,10 @@ def _bit_map(raws: DataFrame) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """``(doc_id, raw, text_key, n, bins, prefix)`` per row: the first shingles in the order of all texts, in which those frequent in a sample come last.
+    """``(doc_id, raw, text_key, n, fp, bins, prefix)`` per row: the first shingles in the order of all texts, in which those frequent in a sample come last.
 
-    ``bins`` counts the shingles by their last byte, a byte each; null where a count is larger. ``u0`` to ``u3`` tell which bins are used.
+    ``fp`` is the SimHash fingerprint. ``bins`` counts the shingles by their last byte, a byte each; null where a count is
+    larger. ``u0`` to ``u15`` tell which of 1024 slots, by the last ten bits, are used.
     """
     sample = sets(rows.where(F.pmod("raw", F.lit(SAMPLED)) == 0)).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     last = np.array(sorted(r["h"] for r in sample.where(f"n >= {FREQUENT}").orderBy(F.desc("n"), "h").limit(MOST).collect()), np.int64)
@@ -91,27 +99,33 @@ def prefixes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
         for part in slices(batches):
-            keys, firsts, size, bins, used = [], [], [], [], []
+            keys, prints, firsts, size, bins, used = [], [], [], [], [], []
             for text in part.column(1).to_pylist():
-                key, own = own_shingles(text)
+                hashes = shingle_hashes(text, WORDS)
+                prints.append(fingerprint_of(hashes))
+                key, own = own_shingles(text, hashes)
                 n = len(own)
                 keys.append(key)
                 size.append(n)
                 counts = np.bincount(own & (BINS - 1), minlength=BINS)
                 bins.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
-                used.append(np.packbits(counts > 0).view(np.int64))
+                slots = np.zeros(SLOTS, bool)
+                slots[own & (SLOTS - 1)] = True
+                used.append(np.packbits(slots).view(np.int64))
                 frequent = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(n, bool)
                 firsts.append(np.concatenate([own[~frequent], own[frequent]])[: n - -(-4 * n // 5) + 1] if n else own)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array(size, pa.int32()), pa.array(bins, pa.binary()), lists, *map(pa.array, np.array(used).T.copy())], ["doc_id", "raw", "text_key", "n", "bins", "prefix", *USED])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bins, pa.binary()), lists, *map(pa.array, np.array(used).T.copy())], ["doc_id", "raw", "text_key", "n", "fp", "bins", "prefix", *USED])
 
-    return rows.mapInArrow(run, "doc_id long, raw long, text_key long, n int, bins binary, prefix array<long>, u0 long, u1 long, u2 long, u3 long")
+    return rows.mapInArrow(run, f"doc_id long, raw long, text_key long, n int, fp long, bins binary, prefix array<long>, {', '.join(f'{u} long' for u in USED)}")
 
 
+#: SQL: how many shingles the prefix of a set of ``n`` has.
+PREFIX = "n - (4 * n + 4) div 5 + 1"
 #: SQL: two sets of these sizes can be similar.
 RATIO = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
-#: SQL: so can two sets less at least one shingle for each bin that only one of them uses.
+#: SQL: so can two sets less at least one shingle for each slot that only one of them uses.
 _ALONE = " + ".join(f"bit_count({{0}}_{u} & ~{{1}}_{u})" for u in USED)
 OVERLAP = f"9 * least(na - ({_ALONE.format('a', 'b')}), nb - ({_ALONE.format('b', 'a')})) >= 4 * (na + nb)"
 
@@ -152,6 +166,25 @@ def _with_links(groups: DataFrame, pairs: DataFrame, found: DataFrame, rows: Dat
     return materialize(groups.join(roots, groups["root"] == roots["node"], "left").select("text_key", F.coalesce("_to", "root").alias("root")), "groups"), n_pairs, n_links
 
 
+#: SQL: the fingerprints of these two texts have brought them together; ``lead`` tells the text that stands for its fingerprint.
+MET = f"a_lead and b_lead and bit_count(a_fp ^ b_fp) <= {RADIUS}"
+
+
+def leads(found: DataFrame) -> DataFrame:
+    """``(text_key, fp, top)`` of each text with words; ``top`` is the text that stands for the texts of its fingerprint."""
+    texts = found.where("n > 0").groupBy("text_key").agg(F.first("fp").alias("fp"))
+    tops = texts.groupBy("fp").agg(F.min("text_key").alias("top"))
+    return materialize(texts.join(tops.hint("merge"), "fp").select("text_key", "fp", "top"), "leads")
+
+
+def fingerprint_pairs(led: DataFrame) -> DataFrame:
+    """``(a, b)`` of texts that SimHash brings together: each with the one that stands for its fingerprint, and these where fingerprints differ in RADIUS bits or fewer."""
+    tops = led.where("text_key = top").select("fp", "top")
+    near = near_fingerprints(tops.select("fp"), RADIUS).toDF("fa", "fb")
+    near = near.join(tops.toDF("fa", "a").hint("merge"), "fa").join(tops.toDF("fb", "b").hint("merge"), "fb").select("a", "b")
+    return led.where("text_key <> top").selectExpr("text_key as a", "top as b").unionByName(near)
+
+
 def linked(found: DataFrame, rows: DataFrame) -> DataFrame:
     """``(text_key, root)`` of the texts that share a prefix shingle with another text; equal roots are linked, directly or over others."""
     texts = found.where("n > 0").groupBy("text_key").agg(F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -159,12 +192,14 @@ def linked(found: DataFrame, rows: DataFrame) -> DataFrame:
     ends = flat.groupBy("h").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high").select("h")
     shared = materialize(flat.join(ends.hint("merge"), "h", "left_semi"), "shared-shingles")
     discard(flat)
-    keys = materialize(shared.select("text_key").distinct(), "candidate-keys")
-    groups = materialize(keys.withColumn("root", F.col("text_key")), "groups")
+    keys = materialize(shared.groupBy("text_key").agg((F.count("*") / F.expr(f"first({PREFIX})")).alias("common")), "candidate-keys")
+    groups = materialize(keys.select("text_key", F.col("text_key").alias("root")), "groups")
+    led = leads(found)
+    groups, _, _ = _with_links(groups, fingerprint_pairs(led).selectExpr("a", "b", "a as root_a", "b as root_b"), found, rows)
     for number in range(ROUNDS):
-        now = shared.join(groups.hint("merge"), "text_key").select("h", "text_key", "n", "root")
+        now = shared.join(groups.hint("merge"), "text_key").join(keys.hint("merge"), "text_key").select("h", "text_key", "n", "root", "common")
         # one text of each shingle that many texts of several groups have
-        turn = F.struct(F.xxhash64("text_key", F.lit(number)).alias("t"), "text_key", "n", "root")
+        turn = F.struct((F.lit(0.0) if number else -F.col("common")).alias("c"), F.xxhash64("text_key", F.lit(number)).alias("t"), "text_key", "n", "root")
         heads = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(turn).alias("head"), F.count("*").alias("m")).where(f"m > {HEAVY} and low < high")
         heads = materialize(heads.selectExpr("h", "head.text_key as b", "head.n as nb", "head.root as root_b"), "heads")
         if not heads.take(1):
@@ -175,10 +210,10 @@ def linked(found: DataFrame, rows: DataFrame) -> DataFrame:
             break
     now = shared.join(groups.hint("merge"), "text_key")
     several = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    uses = found.groupBy("text_key").agg(*(F.first(u).alias(u) for u in USED))
+    uses = found.groupBy("text_key").agg(*(F.first(u).alias(u) for u in USED)).join(led.selectExpr("text_key", "fp", "text_key = top as lead").hint("merge"), "text_key")
     open_ = materialize(now.join(several.hint("merge"), "h", "left_semi").join(uses.hint("merge"), "text_key"), "open")
-    x, y = (open_.selectExpr("h", f"text_key as {k}", f"n as n{k}", f"at as at_{k}", f"root as root_{k}", *(f"{u} as {k}_{u}" for u in USED)) for k in "ab")
-    met = x.join(y.hint("merge"), "h").where(f"a < b and root_a <> root_b and {RATIO.format('na', 'nb')} and {OVERLAP}").groupBy("a", "b", "na", "nb", "root_a", "root_b").agg(F.count("*").alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    x, y = (open_.selectExpr("h", f"text_key as {k}", f"n as n{k}", f"at as at_{k}", f"root as root_{k}", *(f"{u} as {k}_{u}" for u in ("fp", "lead", *USED))) for k in "ab")
+    met = x.join(y.hint("merge"), "h").where(f"a < b and root_a <> root_b and {RATIO.format('na', 'nb')} and {OVERLAP} and not ({MET})").groupBy("a", "b", "na", "nb", "root_a", "root_b").agg(F.count("*").alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     pairs = met.where("9 * (c + least(na - at_a, nb - at_b) - 1) >= 4 * (na + nb)").select("a", "b", "root_a", "root_b")
     return _with_links(groups, pairs, found, rows)[0]
 

@@ -36,7 +36,11 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     A-Z are lower-cased, words are what ASCII white space parts, shingles are ``words`` words joined by a space (a shorter
     text is one shingle), repeats count. A bit is 1 if over half of the shingles' XXH64 have it. No words or null: 0.
     """
-    hashes = shingle_hashes(text, words, seed)
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The same of a text's shingle hashes."""
     n = len(hashes)
     if not n:
         return 0
